@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import decontam, mixing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontam.op1_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
+        "op10_pii": pii.op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontam.OP1_SQL,
         "op8_mixing": mixing.OP8_SQL,
+        "op10_pii": pii.OP10_SQL,
     }
