@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, mixing, pii, sharding
+from tidemark.llm import decontam, jaccard, mixing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontam.op1_decontamination,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
+        "op9_jaccard": jaccard.op9_jaccard,
         "op10_pii": pii.op10_pii,
     }
 
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontam.OP1_SQL,
         "op8_mixing": mixing.OP8_SQL,
+        "op9_jaccard": jaccard.OP9_SQL,
         "op10_pii": pii.OP10_SQL,
     }
