@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, jaccard, mixing, pii, sharding
+from tidemark.llm import decontam, jaccard, mixing, pii, sharding, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
+        "op2_substrings": substrings.op2_substrings,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard": jaccard.op9_jaccard,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontam.OP1_SQL,
+        "op2_substrings": substrings.OP2_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op9_jaccard": jaccard.OP9_SQL,
         "op10_pii": pii.OP10_SQL,
