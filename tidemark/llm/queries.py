@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, jaccard, mixing, pii, sharding, substrings
+from tidemark.llm import decontam, jaccard, mixing, pii, sharding, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
         "op2_substrings": substrings.op2_substrings,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard": jaccard.op9_jaccard,
