@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, jaccard, mixing, pii, sharding, substrings, toxicity
+from tidemark.llm import decontam, jaccard, mixing, pii, sharding, substrings, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontam.op1_decontamination,
         "op2_substrings": substrings.op2_substrings,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_topk": topk.op5_topk,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard": jaccard.op9_jaccard,
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontam.OP1_SQL,
         "op2_substrings": substrings.OP2_SQL,
+        "op5_topk": topk.OP5_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op9_jaccard": jaccard.OP9_SQL,
         "op10_pii": pii.OP10_SQL,
