@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, jaccard, mixing, pii, sharding, substrings, topk, toxicity
+from tidemark.llm import decontam, jaccard, mixing, pii, sharding, substrings, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substrings": substrings.op2_substrings,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_topk": topk.op5_topk,
+        "op6_warc": warc.op6_warc,
         "op7_sharding": sharding.op7_sharding,
         "op8_mixing": mixing.op8_mixing,
         "op9_jaccard": jaccard.op9_jaccard,
@@ -27,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontam.OP1_SQL,
         "op2_substrings": substrings.OP2_SQL,
         "op5_topk": topk.OP5_SQL,
+        "op6_warc": warc.OP6_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op9_jaccard": jaccard.OP9_SQL,
         "op10_pii": pii.OP10_SQL,
