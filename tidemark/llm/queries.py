@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, jaccard, mixing, pii, sharding, substrings, topk, toxicity, warc
+from tidemark.llm import decontam, html_extract, jaccard, mixing, pii, sharding, substrings, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontam.op1_decontamination,
         "op2_substrings": substrings.op2_substrings,
+        "op3_html": html_extract.op3_html,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_topk": topk.op5_topk,
         "op6_warc": warc.op6_warc,

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import private_name, table
 from tidemark.llm.textarrays import LOWER, blocks
 
-SAMPLE, WINDOW = 6_000, 6
+SAMPLE, WINDOW = 4_000, 6
 WORD = re.compile(r"[^\W_]+")
 RUNS = re.compile(r"(.)\1{2,}")
 #: Signs written for letters; marks of quotation; words of reporting and of address, in the tables' languages.
@@ -305,11 +305,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5, **how) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs without those that score `threshold` or more, in their own columns."""
     into = private_name(docs, "score")
-    scored = score(docs, fit(*training_rows(docs, labels, text=text, **how)), text, into)
-    return scored.where(F.col(into) < threshold).drop(into)
+    return score(docs, model, text, into).where(F.col(into) < threshold).drop(into)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
