@@ -32,31 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, shuffle_partitions, table
-from tidemark.llm.textarrays import BYTE, ODD, U, blocks, mix, powers
+from tidemark.llm.common import checkpointed, table
+from tidemark.llm.dealing import ROW, by_part, deal, dealt, groups, home, pack, part_keys, rows_of, send_texts, unpack, unpack_texts
+from tidemark.llm.textarrays import Hasher, U, blocks, mix
 
 LENGTH, PIECE, SLICES = 100, 32, 4
 FLUSH = 1_500_000
 NULL_ID = -(2**63)
 #: Hashed positions within a block; the rest of 64 bits is for the hash that is compared.
 PLACE_BITS = 30
-_INVERSE = U(pow(int(ODD[0]), -1, 2**64))
-
-
-class Hasher:
-    """Hashes of any stretch of a block of bytes, from running sums."""
-
-    _up, _down = powers(ODD[0], 1), powers(_INVERSE, 1)
-
-    def __init__(self, data: np.ndarray):
-        if len(data) >= len(Hasher._up):
-            n = max(len(data) + 1, 5_000_000)
-            Hasher._up, Hasher._down = powers(ODD[0], n), powers(_INVERSE, n)
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(BYTE[data] * Hasher._up[: len(data)], out=self.sums[1:])
-
-    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix((self.sums[hi] - self.sums[lo]) * Hasher._down[lo])
 
 
 def zones(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[Hasher, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +51,7 @@ def zones(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[Hasher, n
         return hasher, none, none, none, none, np.zeros(0, U)
     w = length - PIECE + 1
     n = len(data) - PIECE + 1
-    h = mix((hasher.sums[PIECE:] - hasher.sums[:-PIECE]) * Hasher._down[:n])
+    h = hasher.pieces(PIECE)
     key = np.full(-(-n // w) * w, ~U(0), U)
     key[:n] = ((h >> U(PLACE_BITS)) << U(PLACE_BITS)) | np.arange(n, dtype=U)
     grid = key.reshape(-1, w)
@@ -100,59 +84,11 @@ def earlier(same: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray)
     return (doc > doc[start]) | (at > at[first])
 
 
-def _table(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    both = np.stack([doc, row], axis=1)
-    view = np.ascontiguousarray(both).view([("d", np.int64), ("r", np.int64)]).ravel()
-    ids, index = np.unique(view, return_inverse=True)
-    return ids["d"], ids["r"], index
-
-
-def pack(doc: np.ndarray, row: np.ndarray, **columns: np.ndarray) -> bytes:
-    """Columns of entries of documents as bytes: a table of documents, an index into it, and the columns, compressed."""
-    ids, rows, index = _table(doc, row)
-    index = index.astype(np.uint16 if len(ids) < 65536 else np.uint32)
-    fields = [np.diff(ids, prepend=0), rows, np.diff(index, prepend=index.dtype.type(0)), *columns.values()]
-    head = ",".join(["d", "r", "i", *columns]) + ";" + ",".join(f"{x.dtype.str}:{len(x)}" for x in fields)
-    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in fields)
-    return f"{len(raw)};{head}\n".encode() + pa.compress(raw, "zstd", asbytes=True)
-
-
-def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    """The columns of all blobs, with doc and row."""
-    out: dict[str, list[np.ndarray]] = {}
-    for blob in blobs:
-        head, _, body = blob.partition(b"\n")
-        size, names, kinds = head.decode().split(";")
-        raw, at, x = pa.decompress(body, int(size), "zstd", asbytes=True), 0, {}
-        for name, kind in zip(names.split(","), kinds.split(","), strict=True):
-            dtype, _, n = kind.partition(":")
-            x[name] = np.frombuffer(raw, dtype, int(n), at)
-            at += x[name].nbytes
-        index = np.cumsum(x.pop("i"), dtype=np.int64) % (1 << (8 * np.dtype(kinds.split(",")[2].partition(":")[0]).itemsize))
-        x |= {"doc": np.cumsum(x.pop("d"))[index], "row": x.pop("r")[index]}
-        for k, v in x.items():
-            out.setdefault(k, []).append(v)
-    return {k: np.concatenate(v) for k, v in out.items()}
-
-
-def dealt(part: np.ndarray, kind: int, doc: np.ndarray, row: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """part, kind, blob: the entries of each part as one row."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-    rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-    blobs = [pack(doc[r], row[r], **{k: v[r] for k, v in columns.items()}) for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array(part[order[cuts]], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
-
-
 #: Kinds of rows: zones that are still to be compared, stretches that are covered, anchors whose zones' text is wanted.
 ZONE, COVERED, WANTED = 0, 1, 2
 
 
-def _home(doc: np.ndarray, row: np.ndarray, parts: int) -> np.ndarray:
-    return np.mod(doc ^ row, parts)
-
-
-def _covered(doc, row, lo, hi, parts: int) -> Iterator[pa.RecordBatch]:
+def _covered(doc, row, lo, hi, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stretches of bytes by document, those that touch joined."""
     if len(doc):
         order = np.lexsort((lo, row, doc))
@@ -161,10 +97,10 @@ def _covered(doc, row, lo, hi, parts: int) -> Iterator[pa.RecordBatch]:
         fresh[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])
         at = np.flatnonzero(fresh)
         hi = np.maximum.reduceat(hi, at)
-        yield dealt(_home(doc[at], row[at], parts), COVERED, doc[at], row[at], lo=lo[at].astype(np.uint32), hi=hi.astype(np.uint32))
+        yield dealt(home(doc[at], row[at], len(keys)), COVERED, keys, doc[at], row[at], lo=lo[at].astype(np.uint32), hi=hi.astype(np.uint32))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], length: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -175,19 +111,19 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iter
         same[1:] = (h[1:] == h[:-1]) & (z[1:] == z[:-1])
         late = earlier(same, doc, row, a)
         lo = a - back
-        yield from _covered(doc[late], row[late], lo[late], (lo + more + length)[late], parts)
+        yield from _covered(doc[late], row[late], lo[late], (lo + more + length)[late], keys)
         doc, row, h, z, a, back, more = (x[~late] for x in (doc, row, h, z, a, back, more))
-        part = ((h >> U(32)) % U(parts)).astype(np.int64)
-        yield dealt(part, ZONE, doc, row, h=(h & U(0xFFFFFFFF)).astype(np.uint32), z=z, a=a.astype(np.uint32), back=back.astype(np.uint8), more=more.astype(np.uint8))
+        part = ((h >> U(32)) % U(len(keys))).astype(np.int64)
+        yield dealt(part, ZONE, keys, doc, row, h=(h & U(0xFFFFFFFF)).astype(np.uint32), z=z, a=a.astype(np.uint32), back=back.astype(np.uint8), more=more.astype(np.uint8))
 
     n = 0
     for batch in batches:
-        docs, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        docs, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for at, data, offsets in blocks(batch.column(2)):
             hasher, row, a, first, last, h = zones(data, offsets, length)
             begin = offsets[row]
             z = mix(hasher.of(first, last + length) ^ mix(((a - first) * 256 + last - first).astype(U)))
-            held.append((docs[at + row], keys[at + row], h, z, a - begin, a - first, last - first))
+            held.append((docs[at + row], hashes[at + row], h, z, a - begin, a - first, last - first))
             n += len(a)
             if n >= FLUSH:
                 yield from flush()
@@ -196,23 +132,17 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iter
         yield from flush()
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
-    """part, blobs by kind; rows of one part come one after the other."""
-    now, blobs = None, {}
-    for batch in batches:
-        for part, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if part != now and blobs:
-                yield now, blobs
-                blobs = {}
-            now = part
-            blobs.setdefault(kind, []).append(blob.as_py())
+def _again(part: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """What is covered already, and is at home here, as one row."""
     if blobs:
-        yield now, blobs
+        x = unpack(blobs)
+        blob = pack(x["doc"], x["row"], lo=x["lo"], hi=x["hi"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([COVERED], pa.int32()), pa.array([blob], pa.binary())], names=["part", "kind", "blob"])
 
 
-def _compare_zones(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    for part, blobs in _by_part(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(b), pa.int32()) for b in [blobs.get(COVERED, [])]] + [pa.array([COVERED] * len(b), pa.int32()) for b in [blobs.get(COVERED, [])]] + [pa.array(blobs.get(COVERED, []), pa.binary())], names=["part", "kind", "blob"])
+def _compare_zones(batches: Iterator[pa.RecordBatch], length: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for part, blobs, _ in by_part(batches):
+        yield from _again(part, blobs.get(COVERED, []))
         if ZONE not in blobs:
             continue
         x = unpack(blobs[ZONE])
@@ -224,30 +154,13 @@ def _compare_zones(batches: Iterator[pa.RecordBatch], length: int, parts: int) -
         same[1:] &= x["z"][1:] == x["z"][:-1]
         late = earlier(same, x["doc"], x["row"], x["a"])
         lo = x["a"].astype(np.int64) - x["back"]
-        yield from _covered(x["doc"][late], x["row"][late], lo[late], (lo + x["more"] + length)[late], parts)
+        yield from _covered(x["doc"][late], x["row"][late], lo[late], (lo + x["more"] + length)[late], keys)
         group = np.cumsum(~alike) - 1
         different = np.bincount(group, ~same) > 1
         want = different[group] & ~late
         if want.any():
             doc, row = x["doc"][want], x["row"][want]
-            yield dealt(_home(doc, row, parts), WANTED, doc, row, a=x["a"][want], back=x["back"][want], more=x["more"][want])
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[int, int, str]]]]:
-    """For each part: its entries, then its documents a batch at a time (part, kind, blob, doc, row, text; kind 9 has text)."""
-    now, blobs, entries = None, [], None
-    for batch in batches:
-        part, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero(np.diff(part, prepend=part[0] - 1 if len(part) else 0))
-        for lo, hi in zip(cuts, [*cuts[1:], len(part)], strict=True):
-            if part[lo] != now:
-                now, blobs, entries = part[lo], [], None
-            texts = lo + int(np.searchsorted(kind[lo:hi], 9))
-            blobs += batch.column(2).slice(lo, texts - lo).to_pylist()
-            if texts < hi:
-                if entries is None:
-                    entries, blobs = _sorted(unpack(blobs)) if blobs else {}, []
-                yield entries, batch.slice(texts, hi - texts)
+            yield dealt(home(doc, row, len(keys)), WANTED, keys, doc, row, a=x["a"][want], back=x["back"][want], more=x["more"][want])
 
 
 def _sorted(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -260,18 +173,19 @@ def _sorted(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return x | {"where": where}
 
 
-def _slices(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], length: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The wanted zones' text, in slices by the anchor's place in the run."""
     step = -(-(length - PIECE + 1) // SLICES)
-    for entries, batch in _texts(batches):
-        if not entries:
+    for _, blobs, texts in by_part(batches):
+        if WANTED not in blobs:
             continue
+        entries = _sorted(unpack(blobs[WANTED]))
         out, bodies = [], []
-        for doc, row, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+        for doc, row, text in (x for blob in texts for x in unpack_texts(blob)):
             if (doc, row) not in entries["where"]:
                 continue
             lo, hi = entries["where"][doc, row]
-            data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+            data = np.frombuffer(text, np.uint8)
             hasher = Hasher(data)
             a, back, more = (entries[k][lo:hi].astype(np.int64) for k in ("a", "back", "more"))
             for s in range(SLICES):
@@ -296,17 +210,16 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Itera
             same[1:] = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])
             late = earlier(same, doc[order], row[order], first[order])
             gone, kept = order[late], np.sort(order[~late])
-            yield from _covered(doc[gone], row[gone], first[gone], first[gone] + more[gone] + length, parts)
-            part = (key[kept] % U(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[by], prepend=-1))
-            for x, y in zip(cuts, [*cuts[1:], len(by)], strict=True):
-                some = kept[by[x:y]]
-                # The order of pack() is that of its entries, so bodies can follow in it.
+            yield from _covered(doc[gone], row[gone], first[gone], first[gone] + more[gone] + length, keys)
+            part = (key[kept] % U(len(keys))).astype(np.int64)
+            packed = []
+            for _, r in (by := groups(part)):
+                some = kept[r]
+                # pack() keeps the order of entries, so bodies can follow in it.
                 blob = pack(doc[some], row[some], first=first[some].astype(np.uint32), more=more[some].astype(np.uint8))
                 text = pa.compress(b"".join(bodies[i] for i in some), "zstd", asbytes=True)
-                size = int((more[some] + length).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([part[by[x]]], pa.int32()), pa.array([ZONE], pa.int32()), pa.array([np.array([len(blob), size], np.int64).tobytes() + blob + text], pa.binary())], names=["part", "kind", "blob"])
+                packed.append(np.array([len(blob), int((more[some] + length).sum())], np.int64).tobytes() + blob + text)
+            yield rows_of([p for p, _ in by], ZONE, packed, keys)
 
 
 def previous_factors(windows: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -325,10 +238,9 @@ def previous_factors(windows: np.ndarray, doc: np.ndarray, row: np.ndarray, at:
     return out
 
 
-def _compare_slices(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    for part, blobs in _by_part(batches):
-        cov = blobs.get(COVERED, [])
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(cov), pa.int32()), pa.array([COVERED] * len(cov), pa.int32()), pa.array(cov, pa.binary())], names=["part", "kind", "blob"])
+def _compare_slices(batches: Iterator[pa.RecordBatch], length: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for part, blobs, _ in by_part(batches):
+        yield from _again(part, blobs.get(COVERED, []))
         if ZONE not in blobs:
             continue
         metas, texts = [], []
@@ -357,27 +269,29 @@ def _compare_slices(batches: Iterator[pa.RecordBatch], length: int, parts: int)
         doc, row, at = x["doc"][owner], x["row"][owner], x["first"][owner].astype(np.int64) + place
         windows = np.lib.stride_tricks.sliding_window_view(data, length)[pos]
         late = previous_factors(windows, doc, row, at)
-        yield from _covered(doc[late], row[late], at[late], at[late] + length, parts)
-
-
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each document."""
-    for entries, batch in _texts(batches):
-        rows = []
-        for doc, row, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
-            data = (text.as_py() or "").encode()
-            n, spans, kept = len(data), 0, data
-            if entries and (doc, row) in entries["where"]:
-                lo, hi = entries["where"][doc, row]
-                marks = np.zeros(n + 1, np.int64)
-                np.add.at(marks, entries["lo"][lo:hi].astype(np.int64), 1)
-                np.add.at(marks, entries["hi"][lo:hi].astype(np.int64), -1)
-                gone = np.cumsum(marks)[:n] > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            rows.append((doc, n, n - len(kept), spans, kept))
-        doc, n, removed, spans, kept = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array([None if d == NULL_ID else d for d in doc], pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield from _covered(doc[late], row[late], at[late], at[late] + length, keys)
+
+
+def _apply(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+    """doc, n_bytes, n_removed, n_spans, kept (the remaining bytes, or their SHA-256) of each document."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"]
+    for _, blobs, texts in by_part(batches):
+        entries = _sorted(unpack(blobs[COVERED])) if COVERED in blobs else {"where": {}}
+        for blob in texts:
+            rows = []
+            for doc, row, text in unpack_texts(blob):
+                n, spans, kept = len(text), 0, text
+                if (doc, row) in entries["where"]:
+                    lo, hi = entries["where"][doc, row]
+                    marks = np.zeros(n + 1, np.int64)
+                    np.add.at(marks, entries["lo"][lo:hi].astype(np.int64), 1)
+                    np.add.at(marks, entries["hi"][lo:hi].astype(np.int64), -1)
+                    gone = np.cumsum(marks)[:n] > 0
+                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                rows.append((None if doc == NULL_ID else doc, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest() if digest else kept))
+            kinds = [pa.int64()] * 4 + [pa.string() if digest else pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
@@ -385,31 +299,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     inside a character); with digest, kept_sha256 in place of kept."""
     if not PIECE < length <= PIECE + 224:
         raise ValueError(f"length must be between {PIECE + 1} and {PIECE + 224}")
-    n = shuffle_partitions(docs.sparkSession)
-    parts = 4 * n
+    keys = part_keys(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    entry = "part int, kind int, blob binary"
-    deal = lambda df: df.repartition(n, "part").sortWithinPartitions("part", "kind")
-    home = F.pmod(F.col("doc").bitwiseXOR(F.col("row")), F.lit(parts)).cast("int")
-    bodies = rows.select(home.alias("part"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc", "row", "text")
-    none = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("string").alias("text")]
-    with_text = lambda df: deal(df.select("part", "kind", "blob", *none).unionByName(bodies))
-
-    found = deal(rows.mapInArrow(lambda it: _anchors(it, length, parts), entry)).mapInArrow(lambda it: _compare_zones(it, length, parts), entry)
+    bodies = rows.mapInArrow(lambda it: send_texts(it, keys), ROW)
+
+    found = deal(rows.mapInArrow(lambda it: _anchors(it, length, keys), ROW), keys).mapInArrow(lambda it: _compare_zones(it, length, keys), ROW)
     found = checkpointed(found)
-    more = with_text(found.where(F.col("kind") == WANTED)).mapInArrow(lambda it: _slices(it, length, parts), entry)
-    more = deal(more).mapInArrow(lambda it: _compare_slices(it, length, parts), entry)
-    covered = found.where(F.col("kind") == COVERED).unionByName(checkpointed(more))
-    kept = "kept binary"
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _apply(batches):
-            if digest:
-                hashed = pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(4)], pa.string())
-                batch = pa.RecordBatch.from_arrays([*batch.columns[:4], hashed], names=[*batch.schema.names[:4], "kept_sha256"])
-            yield batch
-
-    return with_text(covered).mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else kept))
+    more = deal(found.where(F.col("kind") == WANTED).unionByName(bodies), keys).mapInArrow(lambda it: _slices(it, length, keys), ROW)
+    more = checkpointed(deal(more, keys).mapInArrow(lambda it: _compare_slices(it, length, keys), ROW))
+    covered = found.where(F.col("kind") == COVERED).unionByName(more)
+    return deal(covered.unionByName(bodies), keys).mapInArrow(lambda it: _apply(it, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary"))
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:

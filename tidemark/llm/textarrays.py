@@ -12,7 +12,8 @@ _RNG = np.random.default_rng(20240229)
 BYTE = _RNG.integers(1, 2**64, 256, dtype=U)
 ODD = [U(int(x) | 1) for x in _RNG.integers(1, 2**63, 16, dtype=U)]
 #: Texts are handled in blocks of about so many bytes, so that memory doesn't follow the size of a batch.
-BLOCK = 4_000_000
+BLOCK = 300_000
+_INVERSE = U(pow(int(ODD[0]), -1, 2**64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,23 +58,43 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+BYTE_LOWER = BYTE[LOWER]
+
+
+class Hasher:
+    """Hashes of any stretch of a block of bytes, from running sums."""
+
+    _up, _down = powers(ODD[0], 1), powers(_INVERSE, 1)
+
+    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE):
+        if len(data) >= len(Hasher._up):
+            n = max(len(data) + 1, 2 * BLOCK)
+            Hasher._up, Hasher._down = powers(ODD[0], n), powers(_INVERSE, n)
+        self.sums = np.zeros(len(data) + 1, U)
+        np.cumsum(values[data] * Hasher._up[: len(data)], out=self.sums[1:])
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix((self.sums[hi] - self.sums[lo]) * Hasher._down[lo])
+
+    def pieces(self, size: int) -> np.ndarray:
+        """The hash of every stretch of `size` bytes."""
+        n = len(self.sums) - size
+        return mix((self.sums[size:] - self.sums[:-size]) * Hasher._down[:n])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, A-Z in lower case; offsets of rows in them)."""
-    inside = ~SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    cut = offsets[:-1][offsets[:-1] < len(data)]
-    first[cut] = inside[cut]  # a word ends with its text
-    kept = np.flatnonzero(inside)
-    begins = first[kept]
-    at = np.flatnonzero(begins)
-    rows = np.concatenate([[0], np.cumsum(first)])[offsets]
-    if not len(at):
-        return np.zeros(0, U), rows
-    sizes = np.diff(np.append(at, len(kept)))
-    place = np.arange(len(kept)) - np.repeat(at, sizes)
-    values = BYTE[LOWER[data[kept]]] * powers(ODD[0], int(sizes.max()))[place]
-    return mix(np.add.reduceat(values, at) + sizes.astype(U) * ODD[1]), rows
+    space = SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    last = ~space
+    last[:-1] &= space[1:]
+    edge = offsets[1:-1]
+    edge = edge[(edge > 0) & (edge < len(data))]  # a word ends with its text
+    first[edge] = ~space[edge]
+    last[edge - 1] = ~space[edge - 1]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return Hasher(data, BYTE_LOWER).of(start, stop) + (stop - start).astype(U) * ODD[1], np.searchsorted(start, offsets)
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
