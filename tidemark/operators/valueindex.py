@@ -91,7 +91,7 @@ class ValueIndex:
 
     def _file(self):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_registry.json")
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/registry.json")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _load(self) -> dict[str, Entry]:

@@ -33,7 +33,7 @@ def estimate(df: DataFrame) -> int | None:
     """Bytes that the plan's scans hold, as far as Spark knows; None where it can't tell. Nothing is run."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        return sum(int(leaves.apply(i).stats().sizeInBytes().bigInteger().longValueExact()) for i in range(leaves.length()))
     except Exception:  # the plan's statistics are no stable interface
         return None
 

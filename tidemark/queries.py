@@ -304,7 +304,7 @@ def oracle_sql() -> dict[str, str]:
         "overlay_shared_pick": f"""WITH r AS (SELECT CAST(ts AS DATE) AS bucket, event_type AS series, user_id % 7 AS l FROM events WHERE event_type IN ('view', 'click') AND {window}),
             t AS (SELECT l FROM r GROUP BY 1 ORDER BY count(*) DESC, l LIMIT 3)
             SELECT bucket, series, CASE WHEN l IN (SELECT l FROM t) THEN CAST(l AS VARCHAR) ELSE '(other)' END AS breakdown_0, count(*) AS value, bucket = DATE '2024-01-31' AS incomplete FROM r GROUP BY ALL""",
-        "overlay_per_series": f"""SELECT CAST(ts AS DATE) AS bucket, event_type AS series, CASE WHEN event_type = 'view' THEN count(*) ELSE count(DISTINCT user_id) END AS value, bool_or(CAST(ts AS DATE) = DATE '2024-01-31') AS incomplete
+        "overlay_per_series": f"""SELECT CAST(ts AS DATE) AS bucket, event_type AS series, CASE WHEN min(event_type) = 'view' THEN count(*) ELSE count(DISTINCT user_id) END AS value, bool_or(CAST(ts AS DATE) = DATE '2024-01-31') AS incomplete
             FROM events WHERE event_type IN ('view', 'click') AND {window} GROUP BY ALL""",
         "cyclic_fill": f"SELECT CAST(k AS INTEGER) AS bucket, count(ts) AS value, false AS incomplete FROM range(24) AS r(k) LEFT JOIN events ON hour(ts) = k AND event_type = 'signup' AND value > 99 AND {window} GROUP BY 1",
         "shared_pick": "SELECT user_id % 7 AS breakdown_0 FROM events WHERE event_type IN ('view', 'click') GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3",
