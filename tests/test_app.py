@@ -142,9 +142,10 @@ def test_density_gate(spark, tmp_path):
 
 
 def test_runner(spark, rows):
-    assert estimate(rows) is not None
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert 0 < estimate(events.select("user_id")) < estimate(events) and estimate(rows) is None
     with pytest.raises(CapExceeded):
-        run(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), cap_bytes=1)
+        run(events, cap_bytes=1)
     assert len(run(rows, limit=2).rows) == 2
     with pytest.raises(Exception) as e:
         spark.table("no_such_table").count()

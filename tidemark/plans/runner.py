@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROW_LIMIT, CAP_BYTES, TIMEOUT_S = 1_000_000, 10 << 30, 600
+#: The size that Spark gives what it knows nothing of.
+UNKNOWN = 2**63 - 1
 #: What this runner can do, for callers that ask.
 CAPABILITIES = frozenset({"dry_run", "bytes_processed", "scan_cap"})
 
@@ -33,7 +35,8 @@ def estimate(df: DataFrame) -> int | None:
     """Bytes that the plan's scans hold, as far as Spark knows; None where it can't tell. Nothing is run."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().bigInteger().longValueExact()) for i in range(leaves.length()))
+        sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length())]
+        return None if max(sizes, default=0) >= UNKNOWN else sum(sizes)
     except Exception:  # the plan's statistics are no stable interface
         return None
 
