@@ -31,14 +31,24 @@ class Result:
     job: str
 
 
+def _scans(node) -> list[int]:
+    """Sizes of a plan's scans, each with the projection and the filters right above it."""
+    below, top = node, node
+    while below.nodeName() in ("Project", "Filter"):
+        below = below.children().apply(0)
+    children = below.children()
+    if children.length() == 0:
+        return [min(int(top.stats().sizeInBytes()), int(below.stats().sizeInBytes()))]
+    return [x for i in range(children.length()) for x in _scans(children.apply(i))]
+
+
 def estimate(df: DataFrame) -> int | None:
-    """Bytes that the plan's scans hold, as far as Spark knows; None where it can't tell. Nothing is run."""
+    """Bytes of the columns that the plan's scans read, as far as Spark knows; None where it can't tell. Nothing is run."""
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length())]
-        return None if max(sizes, default=0) >= UNKNOWN else sum(sizes)
+        sizes = _scans(df._jdf.queryExecution().optimizedPlan())
     except Exception:  # the plan's statistics are no stable interface
         return None
+    return None if max(sizes, default=0) >= UNKNOWN else sum(sizes)
 
 
 def missing_relation(error: Exception) -> bool:

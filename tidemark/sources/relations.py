@@ -35,12 +35,12 @@ def replace(df: DataFrame, table: str, partition_by: tuple[str, ...] = (), comme
     writer.saveAsTable(table)
     if comment is not None:
         text = comment.replace("\\", "\\\\").replace("'", "\\'")
-        df.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('comment' = '{text}')")
+        df.sparkSession.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('tidemark.made_from' = '{text}')")
 
 
 def fingerprint(spark: SparkSession, table: str) -> str | None:
     """The comment that replace() left, None without table or comment."""
     if not spark.catalog.tableExists(table):
         return None
-    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == "comment").collect()
+    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == "tidemark.made_from").collect()
     return rows[0]["value"] if rows else None
