@@ -11,11 +11,11 @@ So two similar sets meet unless both lack segments under a hash, and then they m
 takes the place of one-deletion neighbourhoods, which have the same guarantee but give rise to a signature for each
 token of a segment, over twice as many rows to shuffle.
 
-Sets that are equal are found by their hash and are never paired. Members of a signature, as lists, are made
-distinct; lists of up to SMALL sets give all their pairs, longer ones pairs with their first set. The pairs are verified
-on the texts. Then long lists that still hold more than one component give the pairs across components, which are verified
-as well; pairs inside a component can't change anything. So no link between components is lost and no large group is
-paired out.
+Sets that are equal are found by their hash and are never paired. Members of a signature, as lists, are made distinct.
+Each document is first compared with one other, by their texts; that joins most copies. After that, pairs of short lists
+and members of long ones are only compared if they are not in one component yet (others can't change anything), and only
+if their sketches, a bound from below on how many tokens differ, allow for it. So no link between components is lost, and
+no large group is paired out.
 
 Rarity is counted over all documents in a table of fixed size (collisions cost speed, not results).
 
@@ -32,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, shuffle_partitions, table
+from tidemark.llm.common import checkpointed, table
 from tidemark.llm.components import components
+from tidemark.llm.dealing import ROW, TEXTS, by_part, deal, dealt, groups, home, pack_texts, part_keys, rows_of, send_texts, unpack, unpack_texts
 from tidemark.llm.textarrays import ODD, U, mix, shingle_sets
 
 WIDTH, PERCENT = 5, 80
-LEVELS, SLACK, BAND = 3, 0.25, 1.5
+LEVELS, SLACK, BAND = 3, 1.0, 1.5
 #: Buckets of the table of rarity; lists of up to SMALL sets give all pairs; signatures kept before they are sent on.
 BUCKETS, SMALL, FLUSH = 1 << 20, 8, 2_000_000
+#: Partners of one document that are compared in one task.
+HUB = 64
 
 
 class Bands:
@@ -83,23 +86,56 @@ def signatures(tokens: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, i
             yield mix(tokens ^ mix(np.array([b], U) + U(77 << 40))), len(tokens)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each of 2n buckets or more (a power of two): whether it holds an odd number of tokens.
+
+    Each token in which two sets differ changes one bit, so sets differ in at least as many tokens as their sketches in
+    bits; the longer of two sketches is folded to the length of the other.
+    """
+    if not len(tokens):
+        return b""
+    size = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & U(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(*bits.shape[:-1], -1, size), axis=-2) if bits.shape[-1] > size else bits
+
+
+def plausible(x: bytes, n: int, others: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which others may be similar to x: their sizes fit, and the sketches differ in no more bits than similar sets may."""
+    out = np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent
+    own = np.frombuffer(x, np.uint64)
+    if not len(own):  # no sketches: sizes decide alone
+        return out
+    for length in {len(others[i]) for i in np.flatnonzero(out)}:
+        some = np.array([i for i in np.flatnonzero(out) if len(others[i]) == length])
+        them = np.frombuffer(b"".join(others[i] for i in some), np.uint64).reshape(len(some), -1)
+        words = min(len(own), length // 8)
+        bits = np.bitwise_count(_folded(them, words) ^ _folded(own, words)).sum(axis=1)
+        out[some] = bits * (100 + percent) <= (sizes[some] + n) * (100 - percent)
+    return out
+
+
 def _census(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
-    """id, n, h1, h2 of each row; and, with h1 null, buckets of signatures that are frequent here, with their counts."""
+    """id, n, h1, h2, sketch of each row; and, with h1 null, buckets of signatures that are frequent here, with their counts."""
     bands, counts = Bands(percent), np.zeros(BUCKETS, np.int64)
+    names = ["id", "n", "h1", "h2", "sketch"]
     for batch in batches:
-        n, h1, h2, sigs = [], [], [], []
+        n, h1, h2, sigs, sketches = [], [], [], [], []
         for tokens in shingle_sets(batch.column(1), width):
             n.append(len(tokens))
             h1.append(mix(tokens).sum(dtype=U))
             h2.append(mix(tokens ^ ODD[15]).sum(dtype=U))
+            sketches.append(sketch(tokens))
             if len(tokens):
                 sigs += [s for s, _ in signatures(tokens, bands)]
         if sigs:
             counts += np.bincount((np.concatenate(sigs) & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, U).view(np.int64)), pa.array(np.array(h2, U).view(np.int64))], names=["id", "n", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, U).view(np.int64)), pa.array(np.array(h2, U).view(np.int64)), pa.array(sketches, pa.binary())], names=names)
     hot = np.flatnonzero(counts >= max(4, 8 * counts.mean()))
     none = pa.nulls(len(hot), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(counts[hot]), none, none], names=["id", "n", "h1", "h2"])
+    yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(counts[hot]), none, none, pa.nulls(len(hot), pa.binary())], names=names)
 
 
 def _pack(sig: np.ndarray, doc: np.ndarray, n: np.ndarray) -> bytes:
@@ -122,19 +158,16 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low.astype(U) | (high.astype(U) << U(32)), ids[index], n[index]
 
 
-def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, parts: int, rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """part, blob: the indexed signatures of all rows, dealt into parts. Of equal sets in a task the first stands for all."""
+def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, keys: np.ndarray, rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The indexed signatures of all rows, dealt into parts. Of equal sets in a task the first stands for all."""
     bands, seen = Bands(percent), set()
     sigs, docs, sizes, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
         sig, n = np.concatenate(sigs), np.repeat(sizes, [len(s) for s in sigs])
         doc = np.repeat(docs, [len(s) for s in sigs])
-        part = ((sig >> U(48)) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-        rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(part[order[cuts]], pa.int32()), pa.array([_pack(sig[r], doc[r], n[r]) for r in rows], pa.binary())], names=["part", "blob"])
+        by = groups(((sig >> U(48)) % U(len(keys))).astype(np.int64))
+        return rows_of([p for p, _ in by], 0, [_pack(sig[r], doc[r], n[r]) for _, r in by], keys)
 
     for batch in batches:
         for doc, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
@@ -195,50 +228,25 @@ def _groups(sig: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> It
 
 
 def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Groups of the parts that come one after the other."""
-    part, blobs = None, []
-    for batch in batches:
-        for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if p != part and blobs:
-                yield from _groups(*(np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)), percent)
-                blobs = []
-            part = p
-            blobs.append(blob.as_py())
-    if blobs:
-        yield from _groups(*(np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)), percent)
-
-
-def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of each list's first document with the others of a fitting size, and of neighbours in order of size."""
-    for batch in batches:
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for blob in batch.column(0):
-            raw = blob.as_py()
-            g = len(raw) // 12
-            ids, n = np.frombuffer(raw, np.int64, g), np.frombuffer(raw, np.int32, g, 8 * g)
-            fits = np.minimum(n[0], n[1:]) * 100 >= np.maximum(n[0], n[1:]) * percent
-            left.append(np.repeat(ids[:1], fits.sum()))
-            right.append(ids[1:][fits])
-            order = np.lexsort((ids, n))
-            near = n[order][:-1] * 100 >= n[order][1:] * percent
-            left.append(ids[order][:-1][near])
-            right.append(ids[order][1:][near])
-        yield _pairs(np.concatenate(left), np.concatenate(right)).select(["a", "b"])
+    for _, blobs, _ in by_part(batches):
+        yield from _groups(*(np.concatenate(x) for x in zip(*map(_unpack, blobs[0]), strict=True)), percent)
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of fitting size whose labels differ, from lists of (label, id, n); sent on a few thousand at a time."""
+    """Plausible pairs whose labels differ, from lists of (label, id, n, sketch); sent on some thousands at a time."""
     for batch in batches:
         for row in batch.column(0).to_pylist():
+            row.sort(key=lambda x: (x["n"], x["id"]))
             n, label, ids = (np.array([x[k] for x in row], np.int64) for k in ("n", "label", "id"))
-            order = np.lexsort((ids, n))
-            n, label, ids = n[order], label[order], ids[order]
+            bits = [x["sketch"] for x in row]
             upto = np.searchsorted(n, n * 100 // percent, "right")
             left, right, held = [], [], 0
             for i in range(len(n)):
-                other = ids[i + 1 : upto[i]][label[i + 1 : upto[i]] != label[i]]
+                other = i + 1 + np.flatnonzero(label[i + 1 : upto[i]] != label[i])
+                if len(other):
+                    other = other[plausible(bits[i], int(n[i]), [bits[j] for j in other], n[other], percent)]
                 left.append(np.repeat(ids[i], len(other)))
-                right.append(other)
+                right.append(ids[other])
                 held += len(other)
                 if held > 100_000:
                     yield _pairs(np.concatenate(left), np.concatenate(right)).select(["a", "b"])
@@ -247,20 +255,86 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 yield _pairs(np.concatenate(left), np.concatenate(right)).select(["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
-    """The pairs a, b whose texts are similar."""
+def _sift(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The plausible ones of pairs (a, b, n_a, n_b, sketch_a, sketch_b)."""
     for batch in batches:
-        one = shingle_sets(batch.column(2), width)
-        other = shingle_sets(batch.column(3), width)
-        both = [len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= percent * (len(x) + len(y)) and len(x) > 0 for x, y in zip(one, other, strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(both, pa.bool_()))
+        cols = [batch.column(i).to_pylist() for i in (2, 3, 4, 5)]
+        keep = [bool(plausible(x, n, [y], np.array([m]), percent)[0]) for n, m, x, y in zip(*cols, strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """pairs(a, b) whose texts are similar. A document's text goes to the pairs that name it, not to others."""
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify(it, percent, width), "a long, b long")
+ASK, PAIR = 0, 1
+
+
+def _entries(batches: Iterator[pa.RecordBatch], kind: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, part) as entries: pairs at that part, or asks of a document (a = b) at its home."""
+    for batch in batches:
+        if len(batch):
+            a, b, part = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            if kind == PAIR:
+                yield dealt(part, PAIR, keys, a, b, n=np.zeros(len(a), np.uint8))
+            else:
+                yield dealt(home(a, np.zeros(len(a), np.int64), len(keys)), ASK, keys, a, np.zeros(len(a), np.int64), to=part.astype(np.int32))
+
+
+def _send(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Texts from their homes to the parts that ask for them."""
+    for _, blobs, texts in by_part(batches):
+        if ASK not in blobs:
+            continue
+        x = unpack(blobs[ASK])
+        order = np.argsort(x["doc"], kind="stable")
+        ids, to = x["doc"][order], x["to"][order]
+        out: dict[int, list] = {}
+        for doc, _, text in (x for blob in texts for x in unpack_texts(blob)):
+            lo, hi = np.searchsorted(ids, doc), np.searchsorted(ids, doc, "right")
+            for part in to[lo:hi].tolist():
+                out.setdefault(part, []).append((doc, text))
+        parts = sorted(out)
+        yield rows_of(parts, TEXTS, [pack_texts(np.array([d for d, _ in out[p]]), np.zeros(len(out[p]), np.int64), [t for _, t in out[p]]) for p in parts], keys)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The pairs a, b whose texts are similar."""
+    for _, blobs, texts in by_part(batches):
+        sets: dict[int, list[np.ndarray]] = {}
+        for blob in texts:
+            found = list(unpack_texts(blob))
+            for (doc, _, _), tokens in zip(found, shingle_sets(pa.array([t for _, _, t in found], pa.binary()), width), strict=True):
+                sets.setdefault(doc, []).append(tokens)
+        if PAIR not in blobs:
+            continue
+        x = unpack(blobs[PAIR])
+        a, b = x["doc"], x["row"]
+        alike = [any(_similar(s, t, percent) for s in sets.get(i, ()) for t in sets.get(j, ())) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(a[alike]), pa.array(b[alike])], names=["a", "b"])
+
+
+def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if not len(s) or not len(t) or min(len(s), len(t)) * 100 < max(len(s), len(t)) * percent:
+        return False
+    both = np.concatenate([s, t])
+    both.sort(kind="stable")  # two sorted runs: one merge
+    common = int((both[1:] == both[:-1]).sum())
+    return common * (100 + percent) >= percent * (len(s) + len(t))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int, keys: np.ndarray) -> DataFrame:
+    """pairs(a, b), a < b, whose texts are similar.
+
+    Each document's text goes home, and from there once to each part that holds pairs with it. The pairs of one a
+    meet in one part for every HUB of them, so a document with many partners is compared in many tasks.
+    """
+    n = len(keys)
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("degree")).where(F.col("degree") > HUB)
+    spread = F.coalesce(F.ceil(F.col("degree") / HUB), F.lit(1))
+    pairs = pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), spread)), F.lit(n)).cast("int").alias("part"))
+    pairs = checkpointed(pairs)
+    asks = pairs.select("a", "part").unionByName(pairs.select(F.col("b").alias("a"), "part")).distinct().select("a", F.col("a").alias("b"), "part")
+    bodies = texts.select("id", F.lit(0).cast("long").alias("row"), "text").mapInArrow(lambda it: send_texts(it, keys), ROW)
+    sent = deal(asks.mapInArrow(lambda it: _entries(it, ASK, keys), ROW).unionByName(bodies), keys).mapInArrow(lambda it: _send(it, keys), ROW)
+    both = pairs.mapInArrow(lambda it: _entries(it, PAIR, keys), ROW).unionByName(sent)
+    return deal(both, keys).mapInArrow(lambda it: _verify(it, percent, width), "a long, b long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -268,39 +342,76 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     known = texts.where("id IS NOT NULL AND text IS NOT NULL")
-    census = checkpointed(texts.mapInArrow(lambda it: _census(it, percent, width), "id long, n long, h1 long, h2 long"))
+    census = checkpointed(texts.mapInArrow(lambda it: _census(it, percent, width), "id long, n long, h1 long, h2 long, sketch binary"))
     rows = census.where("h1 IS NOT NULL")
 
     rarity = np.zeros(BUCKETS, np.int64)
     hot = census.where("h1 IS NULL").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     rarity[hot["id"].to_numpy()] = hot["n"].to_numpy()
     shared = spark.sparkContext.broadcast(rarity)
-    partitions = shuffle_partitions(spark)
-    parts = 8 * partitions
-    index = known.mapInArrow(lambda it: _index(it, percent, width, parts, shared.value), "part int, blob binary")
-    met = index.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(lambda it: _meet(it, percent), "a long, b long, members binary")
+    keys = part_keys(spark)
+    index = known.mapInArrow(lambda it: _index(it, percent, width, keys, shared.value), ROW)
+    met = deal(index, keys).mapInArrow(lambda it: _meet(it, percent), "a long, b long, members binary")
     met = checkpointed(met.groupBy("a", "b").agg(F.first("members").alias("members")))
     lists = met.where("members IS NOT NULL")
 
-    # Equal sets are one class; links are between classes from here on.
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
-    same = checkpointed(rows.join(classes.where("copies > 1"), ["h1", "h2", "n"]).where("id <> class").select("id", "class").distinct())
-    pairs = met.where("members IS NULL").select("a", "b").unionByName(lists.select("members").mapInArrow(lambda it: _stars(it, percent), "a long, b long")).distinct()
-    links = checkpointed(_links(pairs, known, percent, width).unionByName(same.select(F.col("id").alias("a"), F.col("class").alias("b"))))
+    # Equal sets are one class, named by its least id; only classes are paired from here on.
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies")).where("copies > 1")
+    same = checkpointed(rows.join(classes, ["h1", "h2", "n"]).where("id <> class").groupBy("id").agg(F.min("class").alias("class")))
+
+    def of_classes(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(same.select(F.col("id").alias(side), F.col("class").alias(f"class_{side}")), side, "left").withColumn(side, F.coalesce(f"class_{side}", side)).drop(f"class_{side}")
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    sketches = rows.where("n > 0 AND id IS NOT NULL").dropDuplicates(["id"]).select("id", "n", "sketch") if _unique(rows) else None
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        if sketches is None:  # an id with several texts has no one sketch
+            return pairs
+        for side in ("a", "b"):
+            pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lambda it: _sift(it, percent), "a long, b long")
+
+    # First each document is compared with one partner: of those that lead a list it is in, or that it is paired with, the one in
+    # most lists, which is nearest to the middle of its copies. That joins most of what will be joined.
+    short = checkpointed(of_classes(met.where("members IS NULL").select("a", "b")))
+    members = checkpointed(_members(lists))
+    weight = checkpointed(members.groupBy("id").agg(F.count("*").alias("lists")))
+    heads = members.join(weight, "id").groupBy("a", "b").agg(F.max(F.struct("lists", (-F.col("id")).alias("head"))).alias("x"))
+    led = members.join(heads, ["a", "b"]).select("id", F.col("x.lists").alias("lists"), (-F.col("x.head")).alias("head"))
+    led = led.unionByName(short.select(F.col("b").alias("id"), F.lit(0).cast("long").alias("lists"), F.col("a").alias("head")))
+    led = led.where("id <> head").groupBy("id").agg(F.max(F.struct("lists", (-F.col("head")).alias("head"))).alias("x"))
+    first = checkpointed(sifted(of_classes(led.select(F.col("id").alias("a"), (-F.col("x.head")).alias("b")))))
+    copies = same.select(F.col("id").alias("a"), F.col("class").alias("b"))
+    links = checkpointed(_links(first, known, percent, width, keys).unionByName(copies))
     labels = checkpointed(components(links))
 
-    members = _members(lists)
-    named = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    # Then all that were paired or listed and are not in one component yet.
+    def labelled(df: DataFrame, side: str, label: str) -> DataFrame:
+        return df.join(labels.select(F.col("id").alias(side), F.col("component").alias(label)), side, "left").withColumn(label, F.coalesce(label, side))
+
+    apart = labelled(labelled(short, "a", "label_a"), "b", "label_b").where("label_a <> label_b").select("a", "b")
+    more = sifted(apart)
+    named = labelled(members, "id", "label")
     mixed = checkpointed(named.groupBy("a", "b").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("a", "b"))
     if not mixed.isEmpty():
-        groups = named.join(mixed, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.collect_list(F.struct("label", "id", "n")).alias("list"))
-        more = groups.select("list").mapInArrow(lambda it: _across(it, percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(_links(more, known, percent, width))
+        own = named.join(mixed, ["a", "b"], "left_semi").join(rows.where("n > 0").groupBy("id").agg(F.first("sketch").alias("sketch")), "id")
+        own = own.withColumn("sketch", F.col("sketch") if sketches is not None else F.lit(b""))
+        across = own.groupBy("a", "b").agg(F.collect_list(F.struct("label", "id", "n", "sketch")).alias("list"))
+        more = more.unionByName(of_classes(across.select("list").mapInArrow(lambda it: _across(it, percent), "a long, b long")))
+    more = checkpointed(more.distinct().join(first, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = links.unionByName(_links(more, known, percent, width, keys))
         labels = checkpointed(components(links))
     out = rows.join(labels, "id", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
+def _unique(rows: DataFrame) -> bool:
+    return rows.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def _members(lists: DataFrame) -> DataFrame:
     """a, b, id, n: a row for each document of each list."""
 
