@@ -30,9 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, table
+from tidemark.llm.common import checkpointed, private_name, table
 from tidemark.llm.components import components
 from tidemark.llm.dealing import ROW, TEXTS, by_part, deal, dealt, groups, home, pack_texts, part_keys, rows_of, send_texts, unpack, unpack_texts
 from tidemark.llm.textarrays import ODD, U, mix, shingle_sets
@@ -43,6 +44,10 @@ LEVELS, SLACK, BAND = 3, 1.0, 1.5
 BUCKETS, SMALL, FLUSH = 1 << 20, 8, 2_000_000
 #: Partners of one document that are compared in one task.
 HUB = 64
+#: Partners from other components that each document is compared with before all others are.
+NEAREST = 3
+#: Ids of copies to drop (about 50 bytes each in memory) go to the documents by broadcast up to so many, else by shuffle.
+MAX_BROADCAST_IDS = 500_000
 
 
 class Bands:
@@ -102,18 +107,24 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(*bits.shape[:-1], -1, size), axis=-2) if bits.shape[-1] > size else bits
 
 
-def plausible(x: bytes, n: int, others: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which others may be similar to x: their sizes fit, and the sketches differ in no more bits than similar sets may."""
-    out = np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent
+FAR = 1 << 40
+
+
+def distances(x: bytes, n: int, others: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """In how many bits the sketches of others differ from that of x; FAR for those that can't be similar to x, as their
+    sizes don't fit or the sketches differ in more bits than similar sets may."""
+    fits = np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent
+    out = np.where(fits, 0, FAR)
     own = np.frombuffer(x, np.uint64)
     if not len(own):  # no sketches: sizes decide alone
         return out
-    for length in {len(others[i]) for i in np.flatnonzero(out)}:
-        some = np.array([i for i in np.flatnonzero(out) if len(others[i]) == length])
-        them = np.frombuffer(b"".join(others[i] for i in some), np.uint64).reshape(len(some), -1)
+    lengths = np.array([len(o) for o in others])
+    for length in np.unique(lengths[fits]):
+        some = np.flatnonzero(fits & (lengths == length))
+        them = np.frombuffer(b"".join([others[i] for i in some]), np.uint64).reshape(len(some), -1)
         words = min(len(own), length // 8)
-        bits = np.bitwise_count(_folded(them, words) ^ _folded(own, words)).sum(axis=1)
-        out[some] = bits * (100 + percent) <= (sizes[some] + n) * (100 - percent)
+        bits = np.bitwise_count(_folded(them, words) ^ _folded(own, words)).sum(axis=1, dtype=np.int64)
+        out[some] = np.where(bits * (100 + percent) <= (sizes[some] + n) * (100 - percent), bits, FAR)
     return out
 
 
@@ -232,35 +243,49 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield from _groups(*(np.concatenate(x) for x in zip(*map(_unpack, blobs[0]), strict=True)), percent)
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Plausible pairs whose labels differ, from lists of (label, id, n, sketch); sent on some thousands at a time."""
+def _across(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """a, b, d: plausible pairs whose labels differ, from lists of (label, id, n, sketch), sent on some thousands at a time;
+    with nearest, for each a only the b whose sketch is nearest."""
+    names = ["a", "b", "d"]
     for batch in batches:
         for row in batch.column(0).to_pylist():
             row.sort(key=lambda x: (x["n"], x["id"]))
             n, label, ids = (np.array([x[k] for x in row], np.int64) for k in ("n", "label", "id"))
             bits = [x["sketch"] for x in row]
             upto = np.searchsorted(n, n * 100 // percent, "right")
-            left, right, held = [], [], 0
+            best, partner = np.full(len(n), FAR), np.zeros(len(n), np.int64)
+            out, held = [], 0
             for i in range(len(n)):
                 other = i + 1 + np.flatnonzero(label[i + 1 : upto[i]] != label[i])
-                if len(other):
-                    other = other[plausible(bits[i], int(n[i]), [bits[j] for j in other], n[other], percent)]
-                left.append(np.repeat(ids[i], len(other)))
-                right.append(ids[other])
-                held += len(other)
-                if held > 100_000:
-                    yield _pairs(np.concatenate(left), np.concatenate(right)).select(["a", "b"])
-                    left, right, held = [], [], 0
-            if held:
-                yield _pairs(np.concatenate(left), np.concatenate(right)).select(["a", "b"])
+                if not len(other):
+                    continue
+                d = distances(bits[i], int(n[i]), [bits[j] for j in other], n[other], percent)
+                other, d = other[d < FAR], d[d < FAR]
+                if nearest and len(other):
+                    nearer = other[d < best[other]]
+                    best[nearer], partner[nearer] = d[d < best[other]], i
+                    if d.min() < best[i]:
+                        best[i], partner[i] = d.min(), other[d.argmin()]
+                elif len(other):
+                    out.append((np.minimum(ids[i], ids[other]), np.maximum(ids[i], ids[other]), d))
+                    held += len(other)
+                    if held > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
+                        out, held = [], 0
+            some = np.flatnonzero(best < FAR)
+            if len(some):
+                out.append((ids[some], ids[partner[some]], best[some]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
 
 def _sift(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The plausible ones of pairs (a, b, n_a, n_b, sketch_a, sketch_b)."""
+    """a, b, d: the plausible ones of pairs (a, b, n_a, n_b, sketch_a, sketch_b)."""
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in (2, 3, 4, 5)]
-        keep = [bool(plausible(x, n, [y], np.array([m]), percent)[0]) for n, m, x, y in zip(*cols, strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        d = np.array([distances(x, n, [y], np.array([m]), percent)[0] for n, m, x, y in zip(*cols, strict=True)], np.int64)
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "d"])
+        yield out.filter(pa.array(d < FAR))
 
 
 ASK, PAIR = 0, 1
@@ -368,10 +393,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
     def sifted(pairs: DataFrame) -> DataFrame:
         if sketches is None:  # an id with several texts has no one sketch
-            return pairs
+            return pairs.withColumn("d", F.lit(0).cast("long"))
         for side in ("a", "b"):
             pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-        return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lambda it: _sift(it, percent), "a long, b long")
+        return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(lambda it: _sift(it, percent), "a long, b long, d long")
 
     # First each document is compared with one partner: of those that lead a list it is in, or that it is paired with, the one in
     # most lists, which is nearest to the middle of its copies. That joins most of what will be joined.
@@ -382,27 +407,31 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     led = members.join(heads, ["a", "b"]).select("id", F.col("x.lists").alias("lists"), (-F.col("x.head")).alias("head"))
     led = led.unionByName(short.select(F.col("b").alias("id"), F.lit(0).cast("long").alias("lists"), F.col("a").alias("head")))
     led = led.where("id <> head").groupBy("id").agg(F.max(F.struct("lists", (-F.col("head")).alias("head"))).alias("x"))
-    first = checkpointed(sifted(of_classes(led.select(F.col("id").alias("a"), (-F.col("x.head")).alias("b")))))
+    tested = checkpointed(sifted(of_classes(led.select(F.col("id").alias("a"), (-F.col("x.head")).alias("b")))).select("a", "b"))
     copies = same.select(F.col("id").alias("a"), F.col("class").alias("b"))
-    links = checkpointed(_links(first, known, percent, width, keys).unionByName(copies))
+    links = checkpointed(_links(tested, known, percent, width, keys).unionByName(copies))
     labels = checkpointed(components(links))
 
-    # Then all that were paired or listed and are not in one component yet.
+    # Then pairs and lists that are not in one component yet: first each document with the nearest few of other components,
+    # which joins nearly all that will be joined; at last all that are apart still, and plausible.
     def labelled(df: DataFrame, side: str, label: str) -> DataFrame:
         return df.join(labels.select(F.col("id").alias(side), F.col("component").alias(label)), side, "left").withColumn(label, F.coalesce(label, side))
 
-    apart = labelled(labelled(short, "a", "label_a"), "b", "label_b").where("label_a <> label_b").select("a", "b")
-    more = sifted(apart)
-    named = labelled(members, "id", "label")
-    mixed = checkpointed(named.groupBy("a", "b").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("a", "b"))
-    if not mixed.isEmpty():
-        own = named.join(mixed, ["a", "b"], "left_semi").join(rows.where("n > 0").groupBy("id").agg(F.first("sketch").alias("sketch")), "id")
-        own = own.withColumn("sketch", F.col("sketch") if sketches is not None else F.lit(b""))
-        across = own.groupBy("a", "b").agg(F.collect_list(F.struct("label", "id", "n", "sketch")).alias("list"))
-        more = more.unionByName(of_classes(across.select("list").mapInArrow(lambda it: _across(it, percent), "a long, b long")))
-    more = checkpointed(more.distinct().join(first, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_links(more, known, percent, width, keys))
+    marked = rows.where("n > 0").groupBy("id").agg(F.first("sketch").alias("sketch")).withColumn("sketch", F.col("sketch") if sketches is not None else F.lit(b""))
+    for nearest in (True, False):
+        more = sifted(labelled(labelled(short, "a", "label_a"), "b", "label_b").where("label_a <> label_b").select("a", "b"))
+        named = checkpointed(labelled(members, "id", "label"))
+        mixed = named.groupBy("a", "b").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("a", "b")
+        across = named.join(mixed, ["a", "b"], "left_semi").join(marked, "id").groupBy("a", "b").agg(F.collect_list(F.struct("label", "id", "n", "sketch")).alias("list"))
+        more = more.unionByName(across.select("list").mapInArrow(lambda it, nearest=nearest: _across(it, percent, nearest), "a long, b long, d long"))
+        if nearest:
+            both = more.unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
+            more = both.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("k") <= NEAREST)
+        more = checkpointed(of_classes(more.select("a", "b")).join(tested, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        tested = tested.unionByName(more)
+        links = checkpointed(links.unionByName(_links(more, known, percent, width, keys)))
         labels = checkpointed(components(links))
     out = rows.join(labels, "id", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
@@ -428,8 +457,11 @@ def _members(lists: DataFrame) -> DataFrame:
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs without those that are linked, over any number of links, to one with a smaller id; of rows with the same id all stay."""
-    later = checkpointed(join(docs, doc_id, text, **how).where("id > component").select(F.col("id").alias("later_id")).distinct())
-    return docs.join(later, docs[doc_id] == later["later_id"], "left_anti")
+    name = private_name(docs, "later_id")
+    later = checkpointed(join(docs, doc_id, text, **how).where("id > component").select(F.col("id").alias(name)).distinct())
+    if later.count() <= MAX_BROADCAST_IDS:
+        later = F.broadcast(later)
+    return docs.join(later, docs[doc_id] == later[name], "left_anti")
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
