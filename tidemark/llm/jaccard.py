@@ -46,6 +46,8 @@ BUCKETS, SMALL, FLUSH = 1 << 20, 8, 2_000_000
 HUB = 64
 #: Partners from other components that each document is compared with before all others are.
 NEAREST = 3
+#: Members of each component that a list brings to that comparison.
+FEW = 8
 #: Ids of copies to drop (about 50 bytes each in memory) go to the documents by broadcast up to so many, else by shuffle.
 MAX_BROADCAST_IDS = 500_000
 
@@ -422,7 +424,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
         more = sifted(labelled(labelled(short, "a", "label_a"), "b", "label_b").where("label_a <> label_b").select("a", "b"))
         named = checkpointed(labelled(members, "id", "label"))
         mixed = named.groupBy("a", "b").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("a", "b")
-        across = named.join(mixed, ["a", "b"], "left_semi").join(marked, "id").groupBy("a", "b").agg(F.collect_list(F.struct("label", "id", "n", "sketch")).alias("list"))
+        own = named.join(mixed, ["a", "b"], "left_semi")
+        if nearest:  # a few of each component will do to find near ones; the last round has them all
+            own = own.withColumn("k", F.row_number().over(W.partitionBy("a", "b", "label").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= FEW).drop("k")
+        across = own.join(marked, "id").groupBy("a", "b").agg(F.collect_list(F.struct("label", "id", "n", "sketch")).alias("list"))
         more = more.unionByName(across.select("list").mapInArrow(lambda it, nearest=nearest: _across(it, percent, nearest), "a long, b long, d long"))
         if nearest:
             both = more.unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
