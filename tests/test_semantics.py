@@ -31,7 +31,7 @@ def plans(spark):
 
 def labels(spark, df, b, **spec):
     out = events(spark, EventsSpec(df, "e", "t", "total", breakdowns=(b,), exact=True, **spec))
-    return sorted((str(r[0])[:10], r[1], r[2]) for r in out.collect())
+    return sorted(((str(r[0])[:10], r[1], r[2]) for r in out.collect()), key=str)
 
 
 def test_ties_and_bounds(spark, plans):
