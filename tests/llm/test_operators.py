@@ -103,6 +103,26 @@ def test_main_text(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def host_texts(pages):
+    """The texts of pages of one host."""
+    wrapper = html_extract.Wrapper()
+    parsed = [html_extract.parse(p) for p in pages]
+    for x in parsed:
+        wrapper = wrapper.merge(html_extract.Wrapper.of(*x))
+    return [html_extract.extract(*x, wrapper, wrapper.content()) for x in parsed]
+
+
+def test_host_wrapper_decides_pages_with_articles(spark):
+    text = lambda i: f"Text {i} " + f"of page {i} " * 30
+    pages = [f"<body class=id-{'xyz'[i % 3]}><article class=x><p>See also {i}</article><div class=text><p>{text(i)}<p>End {i}</div><div>Imprint" for i in range(6)]
+    want = [f"{text(i).strip()}\n\nEnd {i}" for i in range(6)]
+    assert host_texts(pages) == want
+    rows = docs_of(spark, [(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.main_text(rows).collect()} == dict(enumerate(want))
+    assert host_texts(["<div>Latest</div><main><p>copy</main>"] * 5) == ["copy"] * 5
+    assert host_texts([f"<div>Latest {i}</div><article><h1>Rubric</h1><p>news {i * 'n'}</article>" for i in range(5)])[4] == "Rubric\n\nnews nnnn"
+
+
 def test_wrapper_is_an_expression():
     of = lambda h: html_extract.Wrapper.of(*html_extract.parse(h))
     w = of("<div><p>a<p>b</div>").merge(of("<div><p>c</div><ul><li>x<li>y</ul>")).merge(of("<div><p>d<p>e<p>f</div>"))
