@@ -123,6 +123,22 @@ def test_host_wrapper_decides_pages_with_articles(spark):
     assert host_texts([f"<div>Latest {i}</div><article><h1>Rubric</h1><p>news {i * 'n'}</article>" for i in range(5)])[4] == "Rubric\n\nnews nnnn"
 
 
+def test_articles_and_teasers():
+    part = lambda i, k: f"Part {k} of {i} " + f"w{i}{k} " * (5 + k)
+    blog = [f"<div class=feed>{''.join(f'<article class=post-{k}><p>{part(i, k)}</article>' for k in range(3))}</div><section><article class=late><p>{part(i, 3)}</article></section>" for i in range(5)]
+    assert host_texts(blog) == ["\n\n".join(part(i, k).strip() for k in range(4)) for i in range(5)]
+    assert html_extract.extract(*html_extract.parse(blog[0]), None, None) == "\n\n".join(part(0, k).strip() for k in range(4))
+    body = lambda i: f"Body {i} " + f"b{i} " * 60
+    cards = [f"<div class=x><p>{body(i)}</div><article class='card'><p>Teaser {i} {'t ' * i}</article>" for i in range(5)]
+    assert host_texts(cards) == [body(i).strip() for i in range(5)]
+    assert html_extract.extract(*html_extract.parse(cards[0]), None, None) == body(0).strip()
+    # One page of another kind among pages with articles.
+    odd = f"<article class=y><p>See also</article><div class=x><p>{body(9)}</div>"
+    assert host_texts([f"<article><p>{body(i)}</article>" for i in range(5)] + [odd]) == [body(i).strip() for i in [*range(5), 9]]
+    linked = [f"<div class=top><article class=main-{i}><p>{body(i)}</article></div><ul><li><article><a href=/>Other {i} {'o ' * i}</a></article></ul>" for i in range(5)]
+    assert host_texts(linked) == [body(i).strip() for i in range(5)]
+
+
 def test_wrapper_is_an_expression():
     of = lambda h: html_extract.Wrapper.of(*html_extract.parse(h))
     w = of("<div><p>a<p>b</div>").merge(of("<div><p>c</div><ul><li>x<li>y</ul>")).merge(of("<div><p>d<p>e<p>f</div>"))
