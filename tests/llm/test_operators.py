@@ -193,6 +193,21 @@ def test_toxicity_learns_words_stems_and_context(toxic_model):
     assert lexicon.suspects(pa.array(["x “Wretch” y", None, "", "word1", "zorbloq", "vermins"])).tolist() == [True, False, False, False, True, True]
 
 
+def test_every_text_with_evidence_is_a_suspect():
+    long = "so" * 30
+    lexicon = toxicity.Lexicon([("wretch", False, True), ("zorbl", True, False), ("beauté", False, True), ("ébahi", False, True), (long, False, True)])
+    words = "wreeeeeetch wwwretchhhh w1retch wrµetch 😀wretch😀 、wretch。 «wretch» WRETCH 000 zzzorblaaaaaaa zorblq zo0rbl BEAUTÉ BXAUTÉ ÉBAHI ébahiii bééébahi plain wre tch ΑΣ'Β a 1 é".split()
+    words += [long, long[:-1], long + "s", "zorbl" + "ab" * 200, "wretch" + "h" * 300, "x" * 300, "word😀" * 60 + "wretch"]
+    rng = random.Random(4)
+    texts = words + ["".join(rng.choice(["wretch", "zorbl", "ébahi", "e", "H", "r", "3", "😀", "é", "É", "_", " "]) for _ in range(rng.randint(1, 6))) for _ in range(5000)]
+    found = np.array([toxicity.evidence(t, lexicon)[2] > 0 for t in texts])
+    for batch in (texts, *([t] for t in words)):
+        got = lexicon.suspects(pa.array(batch))
+        assert [t for t, g in zip(batch, got, strict=True) if not g and toxicity.evidence(t, lexicon)[2]] == []
+    assert (lexicon.suspects(pa.array(texts)) == found)[["Σ" not in t for t in texts]].all() and 1000 < found.sum() < len(texts)
+    assert found[:4].all() and found[4:6].all()
+
+
 def test_toxicity_scores_odd_rows(spark, toxic_model):
     rows = [(1, None, 5), (1, "", 6), (None, "you wretch", 7)]
     out = {r["score"]: r["score_"] for r in toxicity.score(docs_of(spark, rows, "doc_id long, text string, score int"), toxic_model, into="score_").collect()}

@@ -109,49 +109,51 @@ class Lexicon:
         self.heads = {e[:2] for e, _, _ in entries}
         self.tails = {e[-2:] for e, stem, _ in entries if not stem}
         self.known: dict[str, tuple[str, int] | None] = {}
-        # The same for whole blocks of bytes: two bytes at either end by length in bytes (the last counts for all above).
+        self.tokens: dict[bytes, bool] = {}
+        # The same for whole blocks of bytes, where a word is of ASCII: two letters at either end by length (the last counts for all above).
         self.head, self.tail = (np.zeros((65536, LONGEST), bool) for _ in range(2))
         for e, stem, _ in entries:
-            size = len(e.encode())
-            lo, hi = max(size - 4, 1), LONGEST if stem else size + 5
-            for part in {e, e.capitalize()}:
-                for x in _signed(part[:2]):
-                    self.head[int.from_bytes(x.encode()[:2], "big"), lo:hi] = True
-            if not stem:
-                for x in _signed(e[-2:]):
-                    self.tail[int.from_bytes(x.encode()[-2:], "big"), lo:hi] = True
-        self.head[:, LONGEST - 1] = self.tail[:, LONGEST - 1] = False
-        for e, stem, _ in entries:
-            if stem:
-                for part in {e, e.capitalize()}:
-                    for x in _signed(part[:2]):
-                        self.head[int.from_bytes(x.encode()[:2], "big"), LONGEST - 1] = True
+            lo, hi = min(max(len(e) - 1, 1), LONGEST - 1), LONGEST if stem else len(e) + 2
+            if e[:2].isascii():
+                self.head[int.from_bytes(e[:2].encode(), "big"), lo:hi] = True
+            if not stem and e[-2:].isascii():
+                self.tail[int.from_bytes(e[-2:].encode(), "big"), lo:hi] = True
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(entry, errors) for a word in lower case, as find() of the trie has it."""
-        if word not in self.known:
+        if word in self.known:
+            return self.known[word]
+        p = plain(word)
+        found = self.trie.find(p) if p[:2] in self.heads or p[-2:] in self.tails else None
+        if len(word) <= KEPT:
             if len(self.known) > 100_000:
                 self.known.clear()
-            p = plain(word)
-            self.known[word] = self.trie.find(p) if p[:2] in self.heads or p[-2:] in self.tails else None
-        return self.known[word]
+            self.known[word] = found
+        return found
+
+    def token(self, raw: bytes) -> bool:
+        """Whether a stretch of letters, digits and bytes beyond ASCII has a word that matches."""
+        if raw in self.tokens:
+            return self.tokens[raw]
+        text = raw.decode("utf-8", "replace")
+        # How a capital sigma is lowered depends on what follows it in the text.
+        found = "Σ" in text or any(self.match(w) for w in words_of(text))
+        if len(raw) <= KEPT:
+            if len(self.tokens) > 100_000:
+                self.tokens.clear()
+            self.tokens[raw] = found
+        return found
 
     def hits(self, words: Iterable[str]) -> dict[str, tuple[str, int]]:
         """The distinct words that match, with entry and errors."""
         return {w: m for w in set(words) if (m := self.match(w))}
 
     def suspects(self, texts: pa.Array) -> np.ndarray:
-        """Which texts may have hits: of all words, those pass whose ends do, and these are matched."""
+        """Which texts may have hits: words of ASCII whose ends and length pass or that have a longer run, and all others, are matched."""
         out = np.zeros(len(texts), bool)
         for at, data, offsets in blocks(texts):
-            low = LOWER[data]
+            low = PLAIN[data]
             inside = LETTER[data]
-            for lead, after in ((0xC2, None), (0xE2, 0x80)):  # signs such as guillemets; curly quotation marks and dashes
-                spot = np.flatnonzero(data == lead)
-                spot = spot[spot + 1 < len(data)]
-                spot = spot[data[spot + 1] < 0xC0] if after is None else spot[data[spot + 1] == after]
-                for k in range(2 if after is None else 3):
-                    inside[spot[spot + k < len(data)] + k] = False
             first = inside.copy()
             first[1:] &= ~inside[:-1]
             cut = offsets[:-1][offsets[:-1] < len(data)]
@@ -160,30 +162,28 @@ class Lexicon:
             if not len(start):
                 continue
             stop = np.flatnonzero(inside & np.append(~inside[1:] | first[1:], True)) + 1
+            pick = np.maximum.reduceat(data, start) > 127
+            run = np.flatnonzero((low[:-2] == low[1:-1]) & (low[:-2] == low[2:]) & inside[:-2])
+            pick[np.searchsorted(start, run, "right") - 1] = True
             size = stop - start
-            ok = size > 1
-            start, stop, size = start[ok], stop[ok], np.minimum(size[ok], LONGEST - 1)
-            ends = lambda i: (low[i].astype(np.int32) << 8) | low[i + 1]
-            pick = np.flatnonzero(self.head[ends(start), size] | self.tail[ends(stop - 2), size])
+            size[size < 2] = 0
+            size = np.minimum(size, LONGEST - 1)
+            ends = lambda i: (low[i].astype(np.int32) << 8) | low[np.minimum(i + 1, len(low) - 1)]
+            pick = np.flatnonzero(pick | self.head[ends(start), size] | self.tail[ends(np.maximum(stop - 2, 0)), size])
             row = np.searchsorted(offsets, start[pick], "right") - 1
             body = data.tobytes()
-            for r, x, y in zip(row.tolist(), start[pick].tolist(), stop[pick].tolist(), strict=True):
-                if not out[at + r] and y - x < 200 and self.match(body[x:y].decode("utf-8", "replace").lower()):
-                    out[at + r] = True
+            for r, x, y in zip((row + at).tolist(), start[pick].tolist(), stop[pick].tolist(), strict=True):
+                if not out[r] and self.token(body[x:y]):
+                    out[r] = True
         return out
 
 
-LONGEST = 40
-#: Bytes of letters and digits, ASCII or not.
+#: Lengths of words told apart; longer words and tokens are matched anew each time.
+LONGEST, KEPT = 40, 64
+#: Bytes of letters and digits, ASCII or not; bytes as plain() has them.
 LETTER = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
-
-
-def _signed(letters: str) -> set[str]:
-    """letters with any of the signs that stand for them."""
-    out = {""}
-    for c in letters:
-        out = {x + y for x in out for y in {c, *(chr(k) for k, v in SIGNS.items() if chr(v) == c)}}
-    return out
+PLAIN = LOWER.copy()
+PLAIN[list(SIGNS)] = list(SIGNS.values())
 
 
 def evidence(text: str, lexicon: Lexicon) -> tuple[float, float, int]:
