@@ -139,6 +139,18 @@ def test_articles_and_teasers():
     assert host_texts(linked) == [body(i).strip() for i in range(5)]
 
 
+def test_words_of_content_outweigh_odd_ones():
+    body = lambda i: f"Body {i} " + f"b{i} " * 60
+    for mark in ("content with-sidebar", "main no-sidebar", "content sidebar-right", "layout has-sidebar", "page sidebar-left", "post-share"):
+        alone = [f"<div class='{mark}'><article><p>{body(i)}</article></div><div class=sidebar><p>Links {i * 'l'}" for i in range(5)]
+        assert host_texts(alone) == [body(i).strip() for i in range(5)], mark
+        plain = [x.replace("<article>", "").replace("</article>", "") for x in alone]
+        assert host_texts(plain) == [body(i).strip() if mark != "page sidebar-left" else "" for i in range(5)], mark
+    both = [f"<article><h1>Head {i}</h1><div class='entry-content social'><p>{body(i)}</div><div class=post-tags>Tags {i}</div></article><div class=related><article>{'more ' * (9 + i)}</article></div>" for i in range(5)]
+    assert host_texts(both) == [f"Head {i}\n\n{body(i).strip()}" for i in range(5)]
+    assert host_texts([f"<article><p>{body(i)}<div id=comments><article>{'c ' * 999}{i}</article></div></article><div class='ad sidebar'>Buy {i}" for i in range(5)]) == [body(i).strip() for i in range(5)]
+
+
 def test_wrapper_is_an_expression():
     of = lambda h: html_extract.Wrapper.of(*html_extract.parse(h))
     w = of("<div><p>a<p>b</div>").merge(of("<div><p>c</div><ul><li>x<li>y</ul>")).merge(of("<div><p>d<p>e<p>f</div>"))
