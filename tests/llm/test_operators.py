@@ -151,6 +151,17 @@ def test_words_of_content_outweigh_odd_ones():
     assert host_texts([f"<article><p>{body(i)}<div id=comments><article>{'c ' * 999}{i}</article></div></article><div class='ad sidebar'>Buy {i}" for i in range(5)]) == [body(i).strip() for i in range(5)]
 
 
+def test_head_and_option_end_without_end_tags():
+    alone = lambda html: html_extract.extract(*html_extract.parse(html), None, None)
+    assert alone("<html><head><title>x</title><body><article><p>one</article>") == "one"
+    assert alone("<html><head><title>x</title><meta charset=utf-8><link rel=x><style>p{}</style>\n<p>one</p>") == "one"
+    assert alone("<html><head>\n<title>x</title>\n<b>one</b> two") == "one two" == alone("<head><title>x</title>one two")
+    assert alone("<head><title>x</title><script>1</script></head><article>one</article>") == "one"
+    assert alone("<datalist><option>a<option>b</datalist><article><p>one</article>") == "one"
+    assert alone("<article><p>one<datalist><optgroup><option>a<optgroup><option>b</datalist><p>two</article>") == "one\n\ntwo"
+    assert alone("<article><p>one</p><option>a</article><p>more") == "one"
+
+
 def test_wrapper_is_an_expression():
     of = lambda h: html_extract.Wrapper.of(*html_extract.parse(h))
     w = of("<div><p>a<p>b</div>").merge(of("<div><p>c</div><ul><li>x<li>y</ul>")).merge(of("<div><p>d<p>e<p>f</div>"))
