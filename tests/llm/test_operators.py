@@ -139,6 +139,35 @@ def test_articles_and_teasers():
     assert host_texts(linked) == [body(i).strip() for i in range(5)]
 
 
+def test_alignment_is_a_longest_common_subsequence():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd#") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        pairs = html_extract.aligned(a, b)
+        assert len(pairs) == row[-1] and all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_groups_of_any_length_are_folded():
+    group = [f"t{i}" for i in range(40)]
+    assert html_extract.fold(["x", *group * 3, "y"])[0] == ["x", ("+", tuple(group)), "y"]
+    assert html_extract.fold(group[:13] * 2 + group[:12])[0] == [("+", tuple(group[:13])), *group[:12]]
+    assert html_extract.fold(group + ["z"] + group)[0] == group + ["z"] + group
+
+
+def test_mixed_pages_lose_no_text():
+    rng = random.Random(6)
+    parts = [lambda t: f"<p>{t}</p>", lambda t: f"<h2>{t}</h2>", lambda t: f"<ul><li>{t}</ul>", lambda t: f"<blockquote>{t}</blockquote>", lambda t: f"<section><p>{t}</section>", lambda t: f"<pre>{t}</pre>"]
+    for _ in range(20):
+        texts = [[f"text {rng.random()} " + "w " * 40 for _ in range(rng.randint(2, 12))] for _ in range(20)]
+        pages = [f"<div>Site</div><div class=x>{''.join(rng.choice(parts)(t) for t in own)}</div><div>Imprint" for own in texts]
+        assert host_texts(pages) == ["\n\n".join(map(str.strip, own)) for own in texts]
+
+
 def test_words_of_content_outweigh_odd_ones():
     body = lambda i: f"Body {i} " + f"b{i} " * 60
     for mark in ("content with-sidebar", "main no-sidebar", "content sidebar-right", "layout has-sidebar", "page sidebar-left", "post-share"):
