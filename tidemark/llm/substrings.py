@@ -1,8 +1,8 @@
 """Exact substring deduplication: bytes that lie in a repeated run of `length` bytes go, the first copy stays.
 
 A byte goes if a run of `length` (100) bytes over it also starts earlier, in a document with a smaller id or earlier in the
-same one: its longest previous factor is at least that long. The suffixes of a whole corpus can't be sorted in one place,
-so they are dealt out in such a way that equal runs meet, and longest-previous-factor arrays are taken there.
+same one. The suffixes of a whole corpus can't be sorted in one place, so runs are dealt out in such a way that equal ones meet;
+there they are grouped, which takes the place of a suffix array and of longest previous factors.
 
 1. Every run's anchor is its 32-byte piece with the least hash (the leftmost of equals), so equal runs have equal
    anchors at equal places. The runs with one anchor make up a zone of up to 168 bytes; anchors are about one in 35.
@@ -11,8 +11,7 @@ so they are dealt out in such a way that equal runs meet, and longest-previous-f
 2. Where an anchor has different zones, copies begin or end. From the first of each of these (and from no others) the
    text itself is sent, in up to four slices by the anchor's place in the run, keyed by a hash of what all runs of a slice
    have in common (at least 83 bytes), so that a common short line brings nothing together. Where slices meet, their
-   suffixes are sorted by the bytes that count; in suffix order the neighbours with a smaller position and at least
-   `length` bytes in common show an earlier match, and those suffixes' runs are covered.
+   windows of `length` bytes are grouped by hash and sorted by their bytes; all but the first of equal ones are covered.
 3. Covered stretches are dealt out by document, and meet the text.
 
 No step has a group that grows with the copies of a text: each task sends one zone, or slice, of a kind.
@@ -222,13 +221,8 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int, keys: np.ndarray) ->
             yield rows_of([p for p, _ in by], ZONE, packed, keys)
 
 
-def previous_factors(windows: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which suffixes (here: their first bytes, the rows of `windows`) have a previous factor as long as these.
-
-    Suffix order is the order of the bytes, ties by position. The nearest neighbours of a suffix in that order with a smaller
-    position are its best earlier matches; they match in full if all between them do, that is inside one run of equal rows,
-    and a smaller position is there unless the suffix is the run's first.
-    """
+def repeated_windows(windows: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows of `windows` equal an earlier one: sorted by their bytes, ties by position, all but the first of equals."""
     text = np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel()
     order = np.lexsort((at, row, doc, text))
     same = np.zeros(len(order), bool)
@@ -268,7 +262,7 @@ def _compare_slices(batches: Iterator[pa.RecordBatch], length: int, keys: np.nda
             continue
         doc, row, at = x["doc"][owner], x["row"][owner], x["first"][owner].astype(np.int64) + place
         windows = np.lib.stride_tricks.sliding_window_view(data, length)[pos]
-        late = previous_factors(windows, doc, row, at)
+        late = repeated_windows(windows, doc, row, at)
         yield from _covered(doc[late], row[late], at[late], at[late] + length, keys)
 
 
