@@ -450,6 +450,18 @@ def test_jaccard_of_nothing(spark):
     assert sorted(str(r["doc_id"]) for r in jaccard.first_of_each(docs).collect()) == ["1", "2", "None"]
 
 
+def test_one_row_of_each_group_is_left(spark):
+    rng = random.Random(7)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(5, a), (4, a + " end"), (4, a + " end"), (5, a), (7, b), (7, b), (7, c), (None, d), (None, d), (None, d + " end"), (None, c), (None, None), (None, " "), (8, None), (8, None)]
+    docs = docs_of(spark, rows, "doc_id long, text string").withColumn("row_key", F.lit("x"))
+    out = jaccard.first_of_each(docs)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == docs.columns
+    assert sum(t in (d, d + " end") for _, t in got) == 1
+    assert sorted((x for x in got if x[1] not in (d, d + " end")), key=str) == sorted([(4, a + " end"), (7, b), (7, c), (None, None), (None, " "), (8, None)], key=str)
+
+
 def test_similar_sets_share_an_indexed_signature():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 4, 5, 9, 20, 64, 150, 700):

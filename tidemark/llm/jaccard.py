@@ -461,7 +461,12 @@ def _members(lists: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without those that are linked, over any number of links, to one with a smaller id; of rows with the same id all stay."""
+    """One row of each group of rows that are linked over any number of links: that with the least id, null ids last.
+
+    Rows with one id are rows each, and one of them is left if id and text are the same. Rows without a set have no links.
+    """
+    if not docs.groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.count("*").alias("n")).where("id IS NULL OR n > 1").isEmpty():
+        return _first_rows(docs, doc_id, text, **how)
     name = private_name(docs, "later_id")
     later = checkpointed(join(docs, doc_id, text, **how).where("id > component").select(F.col("id").alias(name)).distinct())
     if later.count() <= MAX_BROADCAST_IDS:
@@ -469,6 +474,24 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     return docs.join(later, docs[doc_id] == later[name], "left_anti")
 
 
+def _first_rows(docs: DataFrame, doc_id: str, text: str, **how) -> DataFrame:
+    """first_of_each() where ids are null or come again: rows are told apart by a 64-bit hash of id and text."""
+    key = private_name(docs, "row_key")
+    number, blank = F.col(doc_id).cast("long"), ~F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.withColumn(key, F.xxhash64(number, F.col(text).cast("string")))
+    again = checkpointed(rows.where(number.isNotNull() | ~blank).groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"))
+    if not again.isEmpty():
+        same = rows[key] == again["again"]
+        rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
+    nodes = rows.where(~blank).select(F.col(key).alias("id"), number.alias("number"))
+    labels = join(rows.where(~blank), key, text, **how).join(nodes, "id")
+    first = F.struct(F.col("number").isNull().alias("none"), "number", "id")
+    labels = checkpointed(labels.select("id", "component", first.alias("first")))
+    kept = labels.groupBy("component").agg(F.min("first").alias("x")).select("component", F.col("x.id").alias("kept"))
+    later = checkpointed(labels.join(kept, "component").where("id <> kept").select(F.col("id").alias("later")))
+    return rows.join(later, rows[key] == later["later"], "left_anti").drop(key)
+
+
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
