@@ -109,7 +109,6 @@ class Lexicon:
         self.heads = {e[:2] for e, _, _ in entries}
         self.tails = {e[-2:] for e, stem, _ in entries if not stem}
         self.known: dict[str, tuple[str, int] | None] = {}
-        self.tokens: dict[bytes, bool] = {}
         # The same for whole blocks of bytes, where a word is of ASCII: two letters at either end by length (the last counts for all above).
         self.head, self.tail = (np.zeros((65536, LONGEST), bool) for _ in range(2))
         for e, stem, _ in entries:
@@ -133,16 +132,12 @@ class Lexicon:
 
     def token(self, raw: bytes) -> bool:
         """Whether a stretch of letters, digits and bytes beyond ASCII has a word that matches."""
-        if raw in self.tokens:
-            return self.tokens[raw]
         text = raw.decode("utf-8", "replace")
         # How a capital sigma is lowered depends on what follows it in the text.
-        found = "Σ" in text or any(self.match(w) for w in words_of(text))
-        if len(raw) <= KEPT:
-            if len(self.tokens) > 100_000:
-                self.tokens.clear()
-            self.tokens[raw] = found
-        return found
+        if "Σ" in text:
+            return True
+        text = text.lower()
+        return bool(self.known[text]) if text in self.known else any(map(self.match, WORD.findall(text)))
 
     def hits(self, words: Iterable[str]) -> dict[str, tuple[str, int]]:
         """The distinct words that match, with entry and errors."""
@@ -178,7 +173,7 @@ class Lexicon:
         return out
 
 
-#: Lengths of words told apart; longer words and tokens are matched anew each time.
+#: Lengths of words told apart; longer words are matched anew each time.
 LONGEST, KEPT = 40, 64
 #: Bytes of letters and digits, ASCII or not; bytes as plain() has them.
 LETTER = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
