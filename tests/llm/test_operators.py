@@ -414,8 +414,10 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("repeat", [False, True])
-def test_jaccard_equals_brute_force(spark, repeat):
+@pytest.mark.parametrize(("repeat", "small", "block"), [(False, 8, 4096), (True, 8, 4096), (False, 2, 7), (True, 2, 3)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, repeat, small, block):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(3 + repeat)
     rows = [(1, None), (2, ""), (3, "one two"), (4, "ONE two"), (5, "one two three four five"), (6, "one two three four five"), (None, "one two"), (7, " \n ")]
     base = [prose(rng, rng.randint(4, 60)).split() for _ in range(12)]
@@ -473,7 +475,7 @@ def test_similar_sets_share_an_indexed_signature():
                 u = np.delete(t, rng.integers(len(t))) if rng.random() < 0.5 and len(t) > 1 else np.append(t, rng.integers(0, 2**63, 1, dtype=np.uint64))
                 if 100 * len(np.intersect1d(s, u)) >= 80 * len(np.union1d(s, u)):
                     t = np.unique(u)
-            kept = [set(np.concatenate([np.sort(g)[:k] for g, k in jaccard.signatures(x, bands)]).tolist()) for x in (s, t)]
+            kept = [set(np.concatenate([np.sort(g)[: len(g) - k] for g, k in jaccard.signatures(x, bands)]).tolist()) for x in (s, t)]
             assert kept[0] & kept[1]
             assert (jaccard.distances(jaccard.sketch(s), len(s), [jaccard.sketch(t)], np.array([len(t)]), 80) < jaccard.FAR).all()
 

@@ -1,23 +1,24 @@
 """N-gram Jaccard join by partitioning the universe, exact.
 
 Two sets r, s with |r & s| >= t |r | s| differ in at most (1-t)/(1+t) (|r|+|s|) elements. Sizes are cut into bands; for the
-band of the smaller set that bound is a number k. Tokens are hashed into m = k + 1 + slack segments, and a set's
+band of the smaller set that bound is a number k. Tokens are hashed into m segments, some more than k + 1, and a set's
 signature of a segment is a hash of what it has there: k differences leave at least m - k segments equal. Costs decide
-which segments a set is indexed by: the empty ones never, and of the others only the k + 1 whose signatures are rarest in the
-corpus. One order of rarity holds for all, so the rarest segment that two similar sets share is among the indexed ones
-of both (all others that they share stand above it, and no more than those are left out). A set with fewer than k + 1 segments
-filled is indexed by all of these, and again under another hash of tokens; after LEVELS of them, by its tokens themselves.
-So two similar sets meet unless both lack segments under a hash, and then they meet under the next one. Re-hashing
-takes the place of one-deletion neighbourhoods, which have the same guarantee but give rise to a signature for each
-token of a segment, over twice as many rows to shuffle.
+which segments a set is indexed by: of the filled ones, the k + 1 whose signatures the fewest sets have, by an exact count.
+One order of rarity holds for all, so the rarest segment that two similar sets share is among the indexed ones of
+both (all others that they share stand above it, and no more than those are left out). A set with fewer than k + 1 segments
+filled is indexed by all of these and by their one-deletion neighbourhoods: what a segment has, and that without any one of
+its tokens. Where two such sets share no segment, one filled segment of the first differs in one token only, as k
+differences don't reach for two in each; its neighbourhoods meet. Sets too small even for that are indexed by their tokens too.
+
+Counts take one exchange: signatures meet once, those of one set only end there, and the few others go back to their sets,
+which leave out their most frequent ones and send the rest on. Nothing of the size of the corpus is broadcast.
 
 Sets that are equal are found by their hash and are never paired. Members of a signature, as lists, are made distinct.
 Each document is first compared with one other, by their texts; that joins most copies. After that, pairs of short lists
 and members of long ones are only compared if they are not in one component yet (others can't change anything), and only
 if their sketches, a bound from below on how many tokens differ, allow for it. So no link between components is lost, and
-no large group is paired out.
-
-Rarity is counted over all documents in a table of fixed size (collisions cost speed, not results).
+no large group is paired out. A list of more than BLOCK members is compared in blocks: its most frequent component by chunks
+with the others, and the others with each other, so that no task holds more than two blocks.
 
 Defined cases: null, empty and blank texts have no set and no links; rows that share a doc_id are one node, linked if any
 of their texts is; rows with a null doc_id have no component; other columns are ignored.
@@ -39,17 +40,19 @@ from tidemark.llm.dealing import ROW, TEXTS, by_part, deal, dealt, groups, home,
 from tidemark.llm.textarrays import ODD, U, mix, shingle_sets
 
 WIDTH, PERCENT = 5, 80
-LEVELS, SLACK, BAND = 3, 1.0, 1.5
-#: Buckets of the table of rarity; lists of up to SMALL sets give all pairs; signatures kept before they are sent on.
-BUCKETS, SMALL, FLUSH = 1 << 20, 8, 2_000_000
+SLACK, BAND = 0.5, 1.5
+#: Lists of up to SMALL sets give all pairs; signatures kept before they are sent on.
+SMALL, FLUSH = 8, 1_500_000
 #: Partners of one document that are compared in one task.
 HUB = 64
 #: Partners from other components that each document is compared with before all others are.
 NEAREST = 3
-#: Members of each component that a list brings to that comparison.
-FEW = 8
-#: Ids of copies to drop (about 50 bytes each in memory) go to the documents by broadcast up to so many, else by shuffle.
+#: Members of each component that a list brings to that comparison; members of a list that one task compares with as many.
+FEW, BLOCK = 8, 4_096
+#: Ids (about 50 bytes each in memory) go to the documents by broadcast up to so many, else by shuffle.
 MAX_BROADCAST_IDS = 500_000
+#: Kinds of rows that tasks send each other.
+ENTRIES, SPARES, ROWS = 0, 1, 2
 
 
 class Bands:
@@ -76,21 +79,24 @@ class Bands:
 
 
 def signatures(tokens: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, int]]:
-    """(signatures of all filled segments, how many of them to index), for each band and level that a set takes part in."""
+    """(signatures, how many of them may be left out), for each band that a set takes part in."""
     for b in bands.of(len(tokens)):
         k, m = bands.k[b], bands.m[b]
-        for level in range(LEVELS):
-            x = mix(tokens + ODD[level + 9])
-            seg = ((x >> U(33)) % U(m)).astype(np.int64)
-            low = np.bincount(seg, (x & U(0xFFFFFFFF)).astype(float), m).astype(U)
-            high = np.bincount(seg, (x >> U(32)).astype(float), m).astype(U)
-            salt = mix(np.arange(m, dtype=U) + U(((b * LEVELS + level) << 32) + 1))
-            sig = mix((low + (high << U(32))) ^ salt)[np.bincount(seg, minlength=m) > 0]
-            yield sig, k + 1
-            if len(sig) > k:
-                break
-        else:
-            yield mix(tokens ^ mix(np.array([b], U) + U(77 << 40))), len(tokens)
+        x = mix(tokens + ODD[9])
+        seg = ((x >> U(33)) % U(m)).astype(np.int64)
+        low = np.bincount(seg, (x & U(0xFFFFFFFF)).astype(float), m).astype(U)
+        high = np.bincount(seg, (x >> U(32)).astype(float), m).astype(U)
+        sums, filled = low + (high << U(32)), np.bincount(seg, minlength=m)
+        salt = mix(np.arange(m, dtype=U) + U((b << 32) + 1))
+        sig = mix(sums ^ salt)[filled > 0]
+        if len(sig) > k:
+            yield sig, len(sig) - k - 1
+            continue
+        near = mix(salt)  # of neighbourhoods
+        own = [sig, mix(sums ^ near)[filled > 0], mix((sums[seg] - x) ^ near[seg])[filled[seg] > 1]]
+        if np.minimum(filled, 2).sum() <= k:
+            own.append(mix(tokens ^ mix(np.array([b], U) + U(77 << 40))))
+        yield np.unique(np.concatenate(own)), 0
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -114,8 +120,8 @@ FAR = 1 << 40
 
 def distances(x: bytes, n: int, others: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
     """In how many bits the sketches of others differ from that of x; FAR for those that can't be similar to x, as their
-    sizes don't fit or the sketches differ in more bits than similar sets may."""
-    fits = np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent
+    sizes (0 where unknown) don't fit or the sketches differ in more bits than similar sets may."""
+    fits = (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent) | (sizes == 0) | (n == 0)
     out = np.where(fits, 0, FAR)
     own = np.frombuffer(x, np.uint64)
     if not len(own):  # no sketches: sizes decide alone
@@ -130,131 +136,214 @@ def distances(x: bytes, n: int, others: list[bytes], sizes: np.ndarray, percent:
     return out
 
 
-def _census(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
-    """id, n, h1, h2, sketch of each row; and, with h1 null, buckets of signatures that are frequent here, with their counts."""
-    bands, counts = Bands(percent), np.zeros(BUCKETS, np.int64)
-    names = ["id", "n", "h1", "h2", "sketch"]
+def _blob(**columns: np.ndarray | pa.Array) -> bytes:
+    out = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _columns(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    tables = [pa.ipc.open_stream(b).read_all() for b in blobs]
+    return {k: np.concatenate([t[k].to_numpy() for t in tables]) for k in tables[0].column_names}
+
+
+def _entries_of(part: np.ndarray, keys: np.ndarray, doc: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Entries dealt into parts, a row for each; ids as steps from one to the next."""
+    by = groups(part)
+    return rows_of([p for p, _ in by], ENTRIES, [_blob(doc=np.diff(doc[r], prepend=np.int64(0)), **{k: v[r] for k, v in columns.items()}) for _, r in by], keys)
+
+
+def _received(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    parts = [_columns([b]) for b in blobs]
+    for x in parts:
+        x["doc"] = np.cumsum(x["doc"])
+    return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
+
+
+def _part_of(sig: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return ((sig >> U(40)) % U(len(keys))).astype(np.int64)
+
+
+def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (id, n, h1, h2, sketch) of all texts, and, dealt into parts, the signatures of sets with how many may be left out.
+
+    Of equal sets in a task the first stands for all. Of a signature 40 bits are sent beside its part (texts decide in the end).
+    """
+    bands, seen = Bands(percent), set()
+    sigs, docs, slots, spares, sizes, held = [], [], [], [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        sig, sent = np.concatenate(sigs), [len(s) for s in sigs]
+        doc, slot = np.array(docs, np.int64), np.array(slots, np.uint8)
+        part, cut = _part_of(sig, keys), sig & U((1 << 40) - 1)
+        yield _entries_of(part, keys, np.repeat(doc, sent), slot=np.repeat(slot, sent), low=cut.astype(np.uint32), high=(cut >> U(32)).astype(np.uint8))
+        own = home(doc, np.zeros(len(doc), np.int64), len(keys))
+        spare, n = np.array(spares, np.int32), np.array(sizes, np.int32)
+        by = groups(own)
+        yield rows_of([p for p, _ in by], SPARES, [_blob(doc=doc[r], slot=slot[r], spare=spare[r], n=n[r]) for _, r in by], keys)
+
     for batch in batches:
-        n, h1, h2, sigs, sketches = [], [], [], [], []
-        for tokens in shingle_sets(batch.column(1), width):
+        n, h1, h2, sketches = [], [], [], []
+        for doc, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
             n.append(len(tokens))
             h1.append(mix(tokens).sum(dtype=U))
             h2.append(mix(tokens ^ ODD[15]).sum(dtype=U))
             sketches.append(sketch(tokens))
-            if len(tokens):
-                sigs += [s for s, _ in signatures(tokens, bands)]
-        if sigs:
-            counts += np.bincount((np.concatenate(sigs) & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, U).view(np.int64)), pa.array(np.array(h2, U).view(np.int64)), pa.array(sketches, pa.binary())], names=names)
-    hot = np.flatnonzero(counts >= max(4, 8 * counts.mean()))
-    none = pa.nulls(len(hot), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(counts[hot]), none, none, pa.nulls(len(hot), pa.binary())], names=names)
-
-
-def _pack(sig: np.ndarray, doc: np.ndarray, n: np.ndarray) -> bytes:
-    """48 bits of each signature (texts decide in the end) and an index into a table of documents, compressed."""
-    ids, first, index = np.unique(doc, return_index=True, return_inverse=True)
-    step = np.diff(ids, prepend=0)
-    head = pa.compress(step.tobytes() + n[first].astype(np.int32).tobytes(), "zstd", asbytes=True)
-    index = index.astype(np.uint16 if len(ids) < 65536 else np.uint32)
-    body = (sig & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((sig >> U(32)) & U(0xFFFF)).astype(np.uint16).tobytes() + index.tobytes()
-    return np.array([len(sig), len(ids), len(head), index.itemsize], np.int64).tobytes() + head + body
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    count, n_ids, head, size = (int(x) for x in np.frombuffer(blob, np.int64, 4))
-    raw = pa.decompress(blob[32 : 32 + head], 12 * n_ids, "zstd", asbytes=True)
-    ids, n = np.cumsum(np.frombuffer(raw, np.int64, n_ids)), np.frombuffer(raw, np.int32, n_ids, 8 * n_ids)
-    at = 32 + head
-    low, high = np.frombuffer(blob, np.uint32, count, at), np.frombuffer(blob, np.uint16, count, at + 4 * count)
-    index = np.frombuffer(blob, np.uint16 if size == 2 else np.uint32, count, at + 6 * count)
-    return low.astype(U) | (high.astype(U) << U(32)), ids[index], n[index]
-
-
-def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, keys: np.ndarray, rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The indexed signatures of all rows, dealt into parts. Of equal sets in a task the first stands for all."""
-    bands, seen = Bands(percent), set()
-    sigs, docs, sizes, held = [], [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        sig, n = np.concatenate(sigs), np.repeat(sizes, [len(s) for s in sigs])
-        doc = np.repeat(docs, [len(s) for s in sigs])
-        by = groups(((sig >> U(48)) % U(len(keys))).astype(np.int64))
-        return rows_of([p for p, _ in by], 0, [_pack(sig[r], doc[r], n[r]) for _, r in by], keys)
-
-    for batch in batches:
-        for doc, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
-            if not len(tokens) or (key := (len(tokens), int(mix(tokens).sum(dtype=U)), int(mix(tokens ^ ODD[15]).sum(dtype=U)))) in seen:
+            if doc is None or not len(tokens) or (key := (len(tokens), int(h1[-1]), int(h2[-1]))) in seen:
                 continue
             seen.add(key)
-            own = []
-            for sig, keep in signatures(tokens, bands):
-                if len(sig) > keep:
-                    sig = sig[np.lexsort((sig, rarity[(sig & U(BUCKETS - 1)).astype(np.int64)]))[:keep]]
-                own.append(sig)
-            sigs.append(np.concatenate(own))
-            docs.append(doc)
-            sizes.append(len(tokens))
-            held += len(sigs[-1])
+            for slot, (sig, spare) in enumerate(signatures(tokens, bands)):
+                sigs.append(sig)
+                docs.append(doc)
+                slots.append(slot)
+                spares.append(spare)
+                sizes.append(len(tokens))
+                held += len(sig)
             if held >= FLUSH:
-                yield flush()
-                sigs, docs, sizes, held = [], [], [], 0
+                yield from flush()
+                sigs, docs, slots, spares, sizes, held = [], [], [], [], [], 0
+        if len(batch):
+            blob = _blob(id=batch.column(0), n=np.array(n, np.int64), h1=np.array(h1, U).view(np.int64), h2=np.array(h2, U).view(np.int64), sketch=pa.array(sketches, pa.binary()))
+            yield rows_of([int(h1[0] % U(len(keys)))], ROWS, [blob], keys)
     if held:
-        yield flush()
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    if len(low):
-        low, high = np.unique(np.stack([low, high]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.nulls(len(low), pa.binary())], names=["a", "b", "members"])
-
-
-def _groups(sig: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """a, b, members: pairs from signatures with up to SMALL documents; for others a hash in a and b, and the members."""
-    order = np.lexsort((doc, sig))
-    sig, doc, n = sig[order], doc[order], n[order]
-    fresh = np.ones(len(sig), bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
-    sig, doc, n = sig[fresh], doc[fresh], n[fresh]
-    start = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
-    size = np.diff(np.append(start, len(sig)))
-    group = np.repeat(size, size)
-    left, right = [], []
-    for d in range(1, SMALL):
-        i = np.flatnonzero((sig[:-d] == sig[d:]) & (group[:-d] <= SMALL)) if len(sig) > d else np.zeros(0, int)
-        i = i[np.minimum(n[i], n[i + d]) * 100 >= np.maximum(n[i], n[i + d]) * percent]
-        left.append(doc[i])
-        right.append(doc[i + d])
-    yield _pairs(np.concatenate(left), np.concatenate(right))
-    a, b, lists, seen = [], [], [], set()
-    for s, g in zip(start[size > SMALL], size[size > SMALL], strict=True):
-        ids, sizes = doc[s : s + g], n[s : s + g]
-        h = mix(ids.view(U) + ODD[3])
-        key = (int(h.sum(dtype=U).view(np.int64)), int(mix(h).sum(dtype=U).view(np.int64)))
-        if key not in seen:
-            seen.add(key)
-            a.append(key[0])
-            b.append(key[1])
-            lists.append(ids.astype(np.int64).tobytes() + sizes.astype(np.int32).tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lists, pa.binary())], names=["a", "b", "members"])
+        yield from flush()
 
 
-def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Signatures of two sets or more, with how many have them, to where their sets are at home; all else as it came."""
+    for key, blobs, _ in by_part(batches):
+        part = int(np.flatnonzero(keys == key)[0])
+        for kind in (SPARES, ROWS):
+            if kind in blobs:
+                yield rows_of([part] * len(blobs[kind]), kind, blobs[kind], keys)
+        if ENTRIES not in blobs:
+            continue
+        x = _received(blobs.pop(ENTRIES))
+        sig, doc, slot = x["low"].astype(U) | (x["high"].astype(U) << U(32)), x["doc"], x["slot"]
+        del x
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        some = np.zeros(len(sig), bool)
+        some[1:] = sig[1:] == sig[:-1]
+        some[:-1] |= some[1:]  # of one set only: most
+        sig, doc, slot = sig[some], doc[order[some]], slot[order[some]]
+        order = np.lexsort((slot, doc, sig))
+        sig, doc, slot = sig[order], doc[order], slot[order]
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]) | (slot[1:] != slot[:-1])
+        sig, doc, slot = sig[fresh], doc[fresh], slot[fresh]
+        size = np.diff(np.append(np.flatnonzero(np.diff(sig, prepend=~sig[:1])), len(sig)))
+        count = np.repeat(size, size)
+        r = np.flatnonzero(count > 1)
+        if len(r):
+            r = r[np.argsort(doc[r], kind="stable")]
+            yield _entries_of(home(doc[r], np.zeros(len(r), np.int64), len(keys)), keys, doc[r], slot=slot[r], sig=sig[r] | (U(part) << U(40)), count=count[r].astype(np.int32))
+
+
+def _choose(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The signatures that sets are indexed by, without the most frequent ones that each may leave out."""
     for _, blobs, _ in by_part(batches):
-        yield from _groups(*(np.concatenate(x) for x in zip(*map(_unpack, blobs[0]), strict=True)), percent)
+        if ENTRIES not in blobs:
+            continue
+        x, y = _received(blobs[ENTRIES]), _columns(blobs[SPARES])
+        # An id with several texts leaves out nothing, and its size isn't known.
+        order = np.lexsort((y["slot"], y["doc"]))
+        owner, place, spare, n = y["doc"][order], y["slot"][order], y["spare"][order], y["n"][order].astype(np.int64)
+        again = np.zeros(len(owner), bool)
+        again[1:] = (owner[1:] == owner[:-1]) & (place[1:] <= place[:-1]) | (owner[1:] == owner[:-1]) & (n[1:] != n[:-1])
+        again = np.isin(owner, owner[1:][again[1:]]) if again.any() else again
+        spare, n = np.where(again, 0, spare), np.where(again, 0, n)
+        order = np.lexsort((x["sig"], x["count"], x["slot"], x["doc"]))
+        doc, slot, sig = (x[k][order] for k in ("doc", "slot", "sig"))
+        fresh = np.ones(len(doc), bool)
+        fresh[1:] = (doc[1:] != doc[:-1]) | (slot[1:] != slot[:-1])
+        start = np.flatnonzero(fresh)
+        size = np.diff(np.append(start, len(doc)))
+        rank = np.arange(len(doc)) - np.repeat(start, size)
+        at = np.searchsorted(owner, doc[start])  # the first of each id, from where its slots follow in order
+        at = np.where(again[at], at, at + slot[start])
+        keep = rank < np.repeat(size - spare[at], size)
+        if keep.any():
+            sizes = np.repeat(n[at], size)[keep]
+            yield _entries_of(((sig[keep] >> U(40)) % U(len(keys))).astype(np.int64), keys, doc[keep], sig=sig[keep], n=sizes.astype(np.int32))
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, members: a hash, and the ids and sizes, of the sets of each signature that several have; each list once in a part."""
+    for _, blobs, _ in by_part(batches):
+        x = _received(blobs[ENTRIES])
+        order = np.lexsort((x["doc"], x["sig"]))
+        sig, doc, n = (x[k][order] for k in ("sig", "doc", "n"))
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+        sig, doc, n = sig[fresh], doc[fresh], n[fresh]
+        start = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
+        size = np.diff(np.append(start, len(sig)))
+        h = mix(doc.view(U) + ODD[3])
+        one, two = (np.add.reduceat(v, start).view(np.int64) for v in (h, mix(h)))
+        some = np.flatnonzero(size > 1)
+        some = some[np.unique(np.stack([one[some], two[some]]), axis=1, return_index=True)[1]] if len(some) else some
+        for lo in range(0, len(some), 10_000):
+            g = some[lo : lo + 10_000]
+            lists = [doc[s : s + k].tobytes() + n[s : s + k].astype(np.int32).tobytes() for s, k in zip(start[g].tolist(), size[g].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(one[g]), pa.array(two[g]), pa.array(lists, pa.binary())], names=["a", "b", "members"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """a, b: all pairs, by size, of lists (members) of few."""
+    for batch in batches:
+        left, right = [], []
+        for blob in batch.column(0):
+            raw = blob.as_py()
+            g = len(raw) // 12
+            ids, n = np.frombuffer(raw, np.int64, g), np.frombuffer(raw, np.int32, g, 8 * g).astype(np.int64)
+            i, j = np.triu_indices(g, 1)
+            fits = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) | (n[i] == 0) | (n[j] == 0)
+            left.append(ids[i[fits]])
+            right.append(ids[j[fits]])
+        if left:
+            low, high = np.concatenate(left), np.concatenate(right)
+            if len(low):
+                low, high = np.unique(np.stack([low, high]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0):
+            yield from pa.ipc.open_stream(blob.as_py()).read_all().to_batches()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first columns, which come one after the other."""
+    held, now = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if held and tuple(k[:, lo]) != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = tuple(k[:, lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _across(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """a, b, d: plausible pairs whose labels differ, from lists of (label, id, n, sketch), sent on some thousands at a time;
-    with nearest, for each a only the b whose sketch is nearest."""
+    """a, b, d: plausible pairs whose labels differ, from the rows (a, b, x, y, label, id, n, sketch) of each list or of two
+    blocks of one, sent on some thousands at a time; with nearest, for each a only the b whose sketch is nearest."""
     names = ["a", "b", "d"]
-    for batch in batches:
-        for row in batch.column(0).to_pylist():
-            row.sort(key=lambda x: (x["n"], x["id"]))
-            n, label, ids = (np.array([x[k] for x in row], np.int64) for k in ("n", "label", "id"))
-            bits = [x["sketch"] for x in row]
-            upto = np.searchsorted(n, n * 100 // percent, "right")
+    for run in _runs(batches, 4):
+        if len(run) > 1:
+            run = run.sort_by([("n", "ascending"), ("id", "ascending")])
+            n, label, ids = (run[k].to_numpy().astype(np.int64) for k in ("n", "label", "id"))
+            bits = run["sketch"].to_pylist()
+            upto = np.where(n > 0, np.searchsorted(n, n * 100 // percent, "right"), len(n))
             best, partner = np.full(len(n), FAR), np.zeros(len(n), np.int64)
             out, held = [], 0
             for i in range(len(n)):
@@ -358,6 +447,9 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int, keys: n
     pairs = pairs.join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), spread)), F.lit(n)).cast("int").alias("part"))
     pairs = checkpointed(pairs)
     asks = pairs.select("a", "part").unionByName(pairs.select(F.col("b").alias("a"), "part")).distinct().select("a", F.col("a").alias("b"), "part")
+    wanted = checkpointed(asks.select(F.col("a").alias("id")).distinct())
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        texts = texts.join(F.broadcast(wanted), "id", "left_semi")
     bodies = texts.select("id", F.lit(0).cast("long").alias("row"), "text").mapInArrow(lambda it: send_texts(it, keys), ROW)
     sent = deal(asks.mapInArrow(lambda it: _entries(it, ASK, keys), ROW).unionByName(bodies), keys).mapInArrow(lambda it: _send(it, keys), ROW)
     both = pairs.mapInArrow(lambda it: _entries(it, PAIR, keys), ROW).unionByName(sent)
@@ -369,18 +461,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     known = texts.where("id IS NOT NULL AND text IS NOT NULL")
-    census = checkpointed(texts.mapInArrow(lambda it: _census(it, percent, width), "id long, n long, h1 long, h2 long, sketch binary"))
-    rows = census.where("h1 IS NOT NULL")
-
-    rarity = np.zeros(BUCKETS, np.int64)
-    hot = census.where("h1 IS NULL").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    rarity[hot["id"].to_numpy()] = hot["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(rarity)
     keys = part_keys(spark)
-    index = known.mapInArrow(lambda it: _index(it, percent, width, keys, shared.value), ROW)
-    met = deal(index, keys).mapInArrow(lambda it: _meet(it, percent), "a long, b long, members binary")
-    met = checkpointed(met.groupBy("a", "b").agg(F.first("members").alias("members")))
-    lists = met.where("members IS NOT NULL")
+    index = texts.mapInArrow(lambda it: _index(it, percent, width, keys), ROW)
+    met = checkpointed(deal(index, keys).mapInArrow(lambda it: _meet(it, keys), ROW))
+    rows = checkpointed(met.where(F.col("kind") == ROWS).select("blob").mapInArrow(_rows, "id long, n long, h1 long, h2 long, sketch binary"))
+    chosen = deal(met.where(F.col("kind") != ROWS), keys).mapInArrow(lambda it: _choose(it, keys), ROW)
+    lists = deal(chosen, keys).mapInArrow(_lists, "a long, b long, members binary")
+    lists = checkpointed(lists.groupBy("a", "b").agg(F.first("members").alias("members")))
+    few = F.length("members") <= 12 * SMALL
 
     # Equal sets are one class, named by its least id; only classes are paired from here on.
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies")).where("copies > 1")
@@ -402,8 +490,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
     # First each document is compared with one partner: of those that lead a list it is in, or that it is paired with, the one in
     # most lists, which is nearest to the middle of its copies. That joins most of what will be joined.
-    short = checkpointed(of_classes(met.where("members IS NULL").select("a", "b")))
-    members = checkpointed(_members(lists))
+    short = lists.where(few).select("members").mapInArrow(lambda it: _pairs(it, percent), "a long, b long").distinct()
+    short = checkpointed(of_classes(short))
+    members = checkpointed(_members(lists.where(~few)))
     weight = checkpointed(members.groupBy("id").agg(F.count("*").alias("lists")))
     heads = members.join(weight, "id").groupBy("a", "b").agg(F.max(F.struct("lists", (-F.col("id")).alias("head"))).alias("x"))
     led = members.join(heads, ["a", "b"]).select("id", F.col("x.lists").alias("lists"), (-F.col("x.head")).alias("head"))
@@ -427,8 +516,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
         own = named.join(mixed, ["a", "b"], "left_semi")
         if nearest:  # a few of each component will do to find near ones; the last round has them all
             own = own.withColumn("k", F.row_number().over(W.partitionBy("a", "b", "label").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= FEW).drop("k")
-        across = own.join(marked, "id").groupBy("a", "b").agg(F.collect_list(F.struct("label", "id", "n", "sketch")).alias("list"))
-        more = more.unionByName(across.select("list").mapInArrow(lambda it, nearest=nearest: _across(it, percent, nearest), "a long, b long, d long"))
+        across = _blocks(own).join(marked, "id").select("a", "b", "x", "y", "label", "id", "n", "sketch")
+        across = across.repartition("a", "b", "x", "y").sortWithinPartitions("a", "b", "x", "y")
+        more = more.unionByName(across.mapInArrow(lambda it, nearest=nearest: _across(it, percent, nearest), "a long, b long, d long"))
         if nearest:
             both = more.unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
             more = both.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("k") <= NEAREST)
@@ -460,6 +550,27 @@ def _members(lists: DataFrame) -> DataFrame:
     return lists.select("a", "b", "members").mapInArrow(each, "a long, b long, id long, n long")
 
 
+def _blocks(own: DataFrame) -> DataFrame:
+    """own(a, b, id, n, label) with x, y: which comparisons of its list a member takes part in.
+
+    Lists of up to BLOCK members are compared in one. In others the members of the most frequent label are cut into
+    chunks y and the rest into blocks x; each chunk meets each block, and each block each other one (as y below 0).
+    """
+    each = own.groupBy("a", "b", "label").agg(F.count("*").alias("c"))
+    long = each.groupBy("a", "b").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("top")).where(F.col("total") > BLOCK)
+    parts = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
+    long = long.select("a", "b", F.col("top.label").alias("main"), parts(F.col("top.c")).alias("chunks"), parts(F.col("total") - F.col("top.c")).alias("blocks"))
+    out = own.join(long, ["a", "b"], "left")
+    spot = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
+    cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    block = spot(F.col("blocks"))
+    of_rest = F.concat(F.transform(upto(F.col("chunks")), lambda y: cell(block, y)), F.transform(upto(F.col("blocks")), lambda j: cell(F.least(block, j), -1 - F.greatest(block, j))))
+    of_main = F.transform(upto(F.col("blocks")), lambda x: cell(x, spot(F.col("chunks"))))
+    cells = F.when(F.col("main").isNull(), F.array(cell(F.lit(0), F.lit(0)))).when(F.col("label") == F.col("main"), of_main).otherwise(of_rest)
+    return out.withColumn("cell", F.explode(cells)).select("a", "b", "cell.x", "cell.y", "label", "id", "n")
+
+
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each group of rows that are linked over any number of links: that with the least id, null ids last.
 
