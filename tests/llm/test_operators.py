@@ -336,23 +336,36 @@ def test_warc_skips_unwanted_payloads():
 # 7
 
 
-def test_minimax_equals_brute_force():
-    from functools import lru_cache
+def least_capacity(sizes, k):
+    """By dynamic programming: the smallest possible largest sum of k runs."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    best = ends[1:].copy()  # of one run up to each item
+    for _ in range(k - 1):
+        best = np.array([min(best[i], *(max(best[j], ends[i + 1] - ends[j + 1]) for j in range(i))) if i else best[0] for i in range(len(sizes))])
+    return best[-1]
 
-    rng = random.Random(4)
-    for _ in range(200):
-        sizes = [rng.choice([1, 2, 3, 5, 40]) for _ in range(rng.randint(1, 12))]
-        k = rng.randint(1, 5)
-
-        @lru_cache(None)
-        def best(i, n, sizes=tuple(sizes)):
-            if i == len(sizes):
-                return 0
-            return math.inf if n == 0 else min(max(sum(sizes[i:j]), best(j, n - 1)) for j in range(i + 1, len(sizes) + 1))
 
+def test_minimax_cuts_equal_brute_force():
+    rng = random.Random(4)
+    assert sharding.minimax_cuts([], 5) == [] and max(sum([5, 5, 5, 13, 21, 40, 40, 2][a:b]) for a, b in [(0, 5), (5, 6), (6, 8)]) == 49
+    cases = [([5, 5, 5, 13, 21, 40, 40, 2], 4)] + [([rng.choice([2, 5, 13, 21, 40, rng.randint(1, 60), rng.randint(1, 600)]) for _ in range(rng.randint(1, 12))], rng.randint(1, 6)) for _ in range(10_000)]
+    for sizes, k in cases:
         cuts = sharding.minimax_cuts(sizes, k)
         assert cuts[0] == 0 and len(cuts) <= k and cuts == sorted(set(cuts))
-        assert max(sum(sizes[a:b]) for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True)) == best(0, k)
+        assert max(sum(sizes[a:b]) for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True)) == least_capacity(sizes, k), (sizes, k)
+
+
+@pytest.mark.parametrize("shards", [3, 24])
+def test_ranges_are_refined_down_to_the_optimum(spark, shards):
+    rng = random.Random(shards)
+    rows = [(rng.randrange(-(2**63), 2**63), rng.choice([8, 20, 300, 5000])) for _ in range(400)]
+    groups = spark.createDataFrame(rows, "group long, size long")
+    rows.sort()
+    for bits, sums in ((16, 1 << 17), (2, 16), (5, 64)):
+        starts = sharding.shard_starts(groups, shards, sums, bits)
+        at = [0, *(sum(g < c for g, _ in rows) for c in starts), len(rows)]
+        assert len(starts) < shards and starts == sorted(starts)
+        assert max(sum(s for _, s in rows[a:b]) for a, b in zip(at, at[1:], strict=False)) == least_capacity([s for _, s in rows], shards)
 
 
 def test_shards(spark):
@@ -367,7 +380,7 @@ def test_shards(spark):
         crcs[r["text_crc32"]].add(r["shard"])
     assert set(slots) == set(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values()) and all(len(v) == 1 for v in crcs.values())
     rest = sorted(sizes.values())[:-1]  # all but the shard of the large group
-    assert rest[-1] <= 1.1 * sum(rest) / 23
+    assert rest[-1] <= 1.1 * sum(rest) / 23 and max(sizes.values()) == 1000 * (len("the same text") + 8)
     assert Counter((r["size"], r["text_crc32"]) for r in out) == Counter((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in rows)
     assert sharding.assign(docs_of(spark, [])).count() == 0
 
