@@ -10,9 +10,9 @@ bucket is a candidate. Products of the candidates are computed exactly. Each tas
 the best k of these are kept.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component, and rows without an id, take no part;
-shorter vectors count as padded with zeros; rows that share an id are all candidates, but not for their own id's queries; an
-id with several vectors is one query for each different one, ranked together; equal rows are one; scores beyond 64 bits
-are held at its ends. Other columns are ignored.
+shorter vectors count as padded with zeros; every row is a candidate for all queries but itself, also where rows share an id or
+are equal; so is every row that is asked for a query, with ranks of its own; scores beyond 64 bits are held at its ends. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ class Best:
         self.score[q], self.id[q], self.full[q] = (np.take_along_axis(x, order, axis=1) for x in (s, i, f))
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, x: np.ndarray, ids: np.ndarray, best: Best) -> None:
+def search_block(queries: np.ndarray, floors: np.ndarray, x: np.ndarray, ids: np.ndarray, best: Best) -> None:
     """Looks for better candidates among the rows of x. floors: lower bounds of the queries' k-th scores."""
     lengths, q_len = np.sqrt((x * x).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
     order = np.argsort(-lengths, kind="stable")
@@ -107,11 +107,11 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray,
                 keep &= abs(v - u * need) <= slack + np.maximum(0, abs(u) * (1 - need)) * (np.sign(v - u * need) == np.sign(u))
             if keep.any():
                 score = exact_products(queries[q : q + 1], b[keep], bound)
-                best.add(np.array([q]), score, b_ids[keep], b_ids[keep][None, :] != query_ids[q])
+                best.add(np.array([q]), score, b_ids[keep], np.ones(score.shape, bool))
         flat = live[t < STEEP]
         if len(flat):
             score = exact_products(queries[flat], b, bound)
-            best.add(flat, score, b_ids, b_ids[None, :] != query_ids[flat][:, None])
+            best.add(flat, score, b_ids, np.ones(score.shape, bool))
 
 
 def whole(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
@@ -133,7 +133,7 @@ def search(vectors: DataFrame, queries, k: int = K, chunk: int = CHUNK, seed: in
     width = rows.agg(F.max(F.size("x"))).first()[0] or 1
     longest = rows.withColumn("length", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).orderBy(F.desc("length"), "id").select("id", "x").limit(seed).toArrow()
     seeds, seed_ids = matrix(longest["x"], width), longest["id"].to_numpy()
-    asked = rows.where(queries(F.col("id"))).distinct()
+    asked = rows.where(queries(F.col("id")))
     n = asked.count()
     chunks = max(1, -(-n // chunk))
     found = []
@@ -142,26 +142,31 @@ def search(vectors: DataFrame, queries, k: int = K, chunk: int = CHUNK, seed: in
         if not some.num_rows:
             continue
         q, q_ids = matrix(some["x"], width), some["id"].to_numpy()
-        first = Best(len(q), k)
+        own = np.concatenate([np.diag(exact_products(q[i : i + 256], q[i : i + 256], float((q[i : i + 256] ** 2).sum(axis=1).max()))) for i in range(0, len(q), 256)])
+        # A query's own row is found like others, so one more is looked for, and then it is taken out.
+        first = Best(len(q), k + 1)
         for lo in range(0, len(q), 4096):
-            part, own = Best(len(q[lo : lo + 4096]), k), q_ids[lo : lo + 4096]
-            search_block(q[lo : lo + 4096], own, np.full(len(own), -np.inf), seeds, seed_ids, part)
+            part = Best(len(q[lo : lo + 4096]), k + 1)
+            search_block(q[lo : lo + 4096], np.full(len(part.full), -np.inf), seeds, seed_ids, part)
             first.score[lo : lo + 4096], first.full[lo : lo + 4096] = part.score, part.full
-        shared = spark.sparkContext.broadcast((q, q_ids, first.floor()))
-        found.append(rows.mapInArrow(_searcher(shared, width, k), "query long, id long, score long"))
+        shared = spark.sparkContext.broadcast((q, q_ids, own, first.floor()))
+        found.append(rows.mapInArrow(_searcher(shared, width, k + 1), "slot long, query long, id long, score long, own boolean").withColumn("chunk", F.lit(c)))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
-    out = out.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+    each = W.partitionBy("chunk", "slot")
+    out = out.withColumn("place", F.row_number().over(each.orderBy(F.desc("score"), "id", F.desc("own")))).where(F.col("place") <= k + 1)
+    out = out.withColumn("self", F.min(F.when(F.col("own"), F.col("place"))).over(each)).where(~F.col("place").eqNullSafe(F.col("self")))
+    rank = F.col("place") - F.when(F.col("place") > F.col("self"), 1).otherwise(0)
+    out = out.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 
 
 def _searcher(shared, width: int, k: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, q_ids, floors = shared.value
+        q, q_ids, same, floors = shared.value
         best, held = Best(len(q), k), []
 
         def work() -> None:
@@ -170,7 +175,7 @@ def _searcher(shared, width: int, k: int):
                 part = slice(lo, lo + 1024)
                 own = Best(0, k)
                 own.score, own.id, own.full = best.score[part], best.id[part], best.full[part]  # views: what is added there is in best
-                search_block(q[part], q_ids[part], floors[part], x, ids, own)
+                search_block(q[part], floors[part], x, ids, own)
 
         for batch in batches:
             for lo in range(0, len(batch), BLOCK):
@@ -182,7 +187,9 @@ def _searcher(shared, width: int, k: int):
         if held:
             work()
         spot = np.nonzero(best.full & (best.score >= np.where(np.isfinite(floors), floors, -(2.0**63))[:, None]))
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[spot[0]], pa.int64()), pa.array(best.id[spot]), pa.array(best.score[spot])], names=["query", "id", "score"])
+        at, ids, score = spot[0], best.id[spot], best.score[spot]
+        own = (ids == q_ids[at]) & (score == same[at])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(q_ids[at], pa.int64()), pa.array(ids), pa.array(score), pa.array(own)], names=["slot", "query", "id", "score", "own"])
 
     return each
 
@@ -192,8 +199,8 @@ def op5_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS own, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+s AS (SELECT q.own, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
