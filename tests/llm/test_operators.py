@@ -36,6 +36,14 @@ def test_decontamination_by_hand(spark):
         got = {r["n_words"]: r for r in decontam.hits(docs, bench, max_windows=blocks).withColumn("hit", decontam.covered(F.col("spans"))).collect()}
         assert [(got[k]["_n_words"], got[k]["hit"], got[k]["items"]) for k in range(1, 6)] == [(13, 11, ["1", "4"]), (0, 0, []), (0, 0, []), (2, 2, [""]), (7, 0, [])]
     assert sorted(r["n_words"] for r in decontam.decontaminate(docs, bench).collect()) == [2, 3, 5]
+    names = ["kind", "pos", "hash", "hashes", "span", "its", "g_hash", "g_words", "g_items", "uid", "w", "m", "h", "bad_id", "bad_hash", "doc_key"]
+    odd = docs.withColumns({c: F.lit(c) for c in names})
+    for blocks in (200_000, 1):
+        assert {tuple(r[c] for c in names) for r in decontam.hits(odd, bench, max_windows=blocks).collect()} == {tuple(names)}
+    left = decontam.decontaminate(odd, bench)
+    assert left.columns == odd.columns and left.count() == 3
+    long = docs_of(spark, [(1, "q " * 300_000 + "a b c " + "q " * 300_000)], DOCS)
+    assert [(r["n_words"], r["items"]) for r in decontam.hits(long, bench).collect()] == [(600_003, ["1"])]
     assert decontam.hits(docs.limit(0), bench).count() == 0 and decontam.hits(docs, bench.limit(0)).where(F.size("spans") > 0).count() == 0
 
 
@@ -198,6 +206,19 @@ def test_wrapper_is_an_expression():
     assert html_extract.Wrapper.load(w.dump()).expression() == w.expression()
 
 
+def test_pages_cut_off_in_a_tag_take_linear_time():
+    import time
+
+    odd = ["<a " + "\" " * 50, "<a " + "x='" * 40_000, "<a " * 300_000, "<a b=\"<a\" " * 90_000, "<!" * 400_000, "<script></script" * 60_000, "<a " + "b=\"c\" " * 120_000, "<p " * 200_000 + ">text"]
+    for page in odd:
+        began = time.time()
+        html_extract.parse("<p>hi</p>" + page)
+        assert time.time() - began < 5, page[:30]
+    texts = [b.text for b in html_extract.parse("<p>hi</p><a " + "\" " * 50)[1]]
+    assert texts == ["hi"]
+    assert [b.text for b in html_extract.parse("<p title='a>b' data-x=1>one</p><p title=\"it's\">two</p><p it's>three</p>")[1]] == ["one", "two", "three"]
+
+
 # 4
 
 
@@ -269,6 +290,16 @@ def test_toxicity_scores_odd_rows(spark, toxic_model):
     assert toxicity.keep_clean(docs_of(spark, rows[:2] + [(3, "you wretch", 1)], "doc_id long, text string, score int"), toxic_model).columns == ["doc_id", "text", "score"]
 
 
+def test_training_rows_of_odd_tables(spark):
+    docs = docs_of(spark, [(1, "b", 1, 0), (1, "a", 2, 0), (1, None, 3, 0), (2, None, 4, 0), (None, "x", 5, 0)], "doc_id long, text string, label_id int, y int")
+    labels = docs_of(spark, [(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    ids = [r["doc_id"] for r in labels.where("doc_id IS NOT NULL").where(~toxicity.held_out()).select("doc_id").distinct().orderBy("doc_id").collect()]
+    assert toxicity.training_rows(docs, labels) == ([{1: "a", 2: ""}[i] for i in ids], [{1: 1, 2: 0}[i] for i in ids])
+    assert toxicity.training_rows(docs.limit(0), labels) == toxicity.training_rows(docs, labels.limit(0)) == ([], [])
+    model = toxicity.fit([], [])
+    assert toxicity.score(docs.limit(0), model).count() == 0 and len({r["score"] for r in toxicity.score(docs, model).collect()}) == 1
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     out = toxicity.op4_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
@@ -290,12 +321,15 @@ def test_topk_equals_brute_force(spark, chunk):
         rows.append((i, v[:5] if i % 41 == 0 else v))
     rows += [(700, None), (None, [1.0] * 8), (50, [0.5] * 8), (50, [0.5] * 8), (701, rows[60][1]), (702, rows[60][1]), (703, [1e12] * 8), (704, [float("inf")] * 8), (705, [])]
     got = sorted(tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), lambda i: i % 50 == 0, seed=10, chunk=chunk).collect())
-    whole = sorted({(i, (*(math.floor(256 * x) for x in v), *[0] * (8 - len(v)))) for i, v in rows if i is not None and v and all(map(math.isfinite, v))})
+    whole = sorted((i, (*(math.floor(256 * x) for x in v), *[0] * (8 - len(v)))) for i, v in rows if i is not None and v and all(map(math.isfinite, v)))
     want = []
-    for q in sorted({i for i, _ in whole if i % 50 == 0}):
-        hits = sorted({(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), j) for i, v in whole if i == q for j, w in whole if j != q})
-        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(hits[:5])]
-    assert got == want
+    for p, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            hits = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), j) for o, (j, w) in enumerate(whole) if o != p)
+            want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(hits[:5])]
+    assert got == sorted(want)
+    few = spark.createDataFrame([(50, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[:3] for r in topk.search(few, lambda i: i % 50 == 0).orderBy("rank").collect()] == [(50, 1, 1), (50, 2, 1)]
 
 
 def test_topk_of_nothing(spark):
@@ -538,4 +572,8 @@ def test_pii_scores_and_redacts(spark):
     docs = docs_of(spark, rows).withColumn("pii_text", F.lit(1))
     got = {r["doc_id"]: [(s["kind"], round(s["score"], 2)) for s in r["found"]] for r in pii.find(docs, into="found").collect()}
     assert got == {1: [("iban", 1.0), ("email", 1.0)], 2: [], 3: [], 4: [("ip", 0.3)], 5: [("ip", 0.8)]}
+    keys = [(1, 'token = "04dbebab91ab85687d33"'), (2, "04dbebab91ab85687d33"), (3, "a test token 04dbebab91ab85687d33"), (4, "token abcdefghijklmnopqrstuv"), (5, "bearer: " + "a1-" * 30_000)]
+    found = pii.find(docs_of(spark, keys).withColumn("pii", F.lit("own"))).withColumn("n", F.size(pii.certain(F.col("_pii")))).orderBy("doc_id").collect()
+    assert [(r["n"], r["pii"]) for r in found] == [(1, "own"), (0, "own"), (0, "own"), (0, "own"), (1, "own")]
+    assert pii.find(docs.limit(0)).count() == 0
     assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()] == ["IBAN <iban>, mail <email>", rows[1][1], None, rows[3][1], "server <ip>"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where checkpoints go if the session names no folder, as in tests.
+#: Where checkpoints go if the session names no folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -16,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine, as in tests, may it be unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or LOCAL_CHECKPOINTS
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

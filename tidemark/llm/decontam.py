@@ -5,8 +5,9 @@ hash of their words, are broadcast; the hashes of every window of every document
 the words themselves are equal. The text never crosses the network: a document's words stay beside its hashes inside one
 code-generated stage until the rare hit needs them, and only ids, counts and hits are shuffled.
 
-The broadcast is bounded: at most `max_windows` windows (about 250 bytes each) go at once; a larger benchmark is split by
-window hash into as many blocks as that takes, and the corpus is scanned once for each block.
+The broadcast is bounded: about `max_windows` windows of MAX_BYTES bytes, words and item ids, go at once; a larger
+benchmark is split by window hash into as many blocks as that takes, and the corpus, written once with a number for each
+row, is scanned once for each block.
 
 Defined cases: null and wordless texts have no words and no hits; wordless items have no windows; rows of `benchmark` that
 share an item_id are one item; a null item_id is the item named by the empty string; every row of the documents is
@@ -22,7 +23,7 @@ from tidemark.llm.common import ascii_lower, checkpointed, private_name, table
 
 #: What lies between words, after A-Z are in lower case.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-N, MAX_WINDOWS = 10, 200_000
+N, MAX_WINDOWS, MAX_BYTES = 10, 200_000, 500
 #: Ids of rejected documents (about 100 bytes each in memory) go to the documents by broadcast up to so many, else by shuffle.
 MAX_BROADCAST_IDS = 500_000
 
@@ -44,37 +45,41 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """docs' columns but the text, with n_words, spans (array of struct<pos, len>: the hit windows, 0-based, sorted) and
     items (sorted ids of items with a window in the text)."""
     grams = checkpointed(windows(benchmark, item_id, item_text, n).withColumn("hash", F.xxhash64("words")))
-    stats = grams.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("len"), asc=False).alias("lens")).first()  # n lengths at most
-    lens, blocks = stats["lens"] or [n], max(1, -(-stats["n"] // max_windows))
+    weight = F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " "))
+    stats = grams.agg(F.count("*").alias("n"), F.sum(weight).alias("bytes"), F.sort_array(F.collect_set("len"), asc=False).alias("lens")).first()  # n lengths at most
+    lens, blocks = stats["lens"] or [n], max(1, -(-stats["n"] // max_windows), -(-(stats["bytes"] or 0) // (MAX_BYTES * max_windows)))
 
     keep = [c for c in docs.columns if c != text]
-    uid = private_name(docs, "uid")
-    base = docs.withColumns({uid: F.monotonically_increasing_id(), (w := private_name(docs, "w")): words(F.col(text))})
-    base = base.withColumn(m := private_name(docs, "m"), F.size(w))
+    uid, w, m, h, kind, pos, hash_, hashes, span, its, g_hash, g_words, g_items = (private_name(docs, c) for c in ("uid", "w", "m", "h", "kind", "pos", "hash", "hashes", "span", "its", "g_hash", "g_words", "g_items"))
+    base = docs.withColumn(uid, F.monotonically_increasing_id())
+    if blocks > 1:  # numbers that stay the same from block to block, whatever is computed again
+        base = checkpointed(base)
+    base = base.withColumn(w, words(F.col(text))).withColumn(m, F.size(w))
 
     def of_length(k: int) -> Column:
         starts = F.sequence(F.lit(1), F.col(m) - k + 1)
         return F.when(F.col(m) >= k, F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(w), i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
 
-    base = base.select(*[F.col(f"`{c}`") for c in keep], uid, w, m, F.array(*[of_length(k) for k in lens]).alias(h := private_name(docs, "h")))
-    sides = [w, m, uid, *keep]
+    own = [F.col(f"`{c}`") for c in (w, m, uid, *keep)]
+    base = base.select(*own, F.array(*[of_length(k) for k in lens]).alias(h))
     found = []
     for block in range(blocks):
         part = grams if blocks == 1 else grams.where(F.pmod(F.col("hash"), F.lit(blocks)) == block)
-        g = F.broadcast(part.select(F.col("hash").alias("g_hash"), F.col("words").alias("g_words"), F.col("items").alias("g_items")))
-        one = base.select(*[F.col(f"`{c}`") for c in sides], F.posexplode_outer(h).alias("kind", "hashes"))
-        one = one.select(*[F.col(f"`{c}`") for c in sides], "kind", F.posexplode_outer("hashes").alias("pos", "hash"))
-        length = F.element_at(F.array(*[F.lit(k) for k in lens]), F.col("kind") + 1)
-        at = F.slice(F.col(w), F.col("pos") + 1, length)
+        g = F.broadcast(part.select(F.col("hash").alias(g_hash), F.col("words").alias(g_words), F.col("items").alias(g_items)))
+        one = base.select(*own, F.posexplode_outer(h).alias(kind, hashes))
+        one = one.select(*own, F.col(kind), F.posexplode_outer(hashes).alias(pos, hash_))
+        length = F.element_at(F.array(*[F.lit(k) for k in lens]), F.col(kind) + 1)
+        at = F.slice(F.col(w), F.col(pos) + 1, length)
         # Both comparisons instead of one for equality, which would become a second join key and be built at every position.
-        same = (F.col("hash") == F.col("g_hash")) & (at <= F.col("g_words")) & (at >= F.col("g_words"))
-        one = one.join(g, same, "left").where(F.col("g_hash").isNotNull() | ((F.col("kind") == 0) & (F.coalesce(F.col("pos"), F.lit(0)) == 0)))
-        found.append(one.select(*[F.col(f"`{c}`") for c in (uid, m, *keep)], F.when(F.col("g_hash").isNotNull(), F.struct(F.col("pos"), length.alias("len"))).alias("span"), F.col("g_items").alias("its")))
+        same = (F.col(hash_) == F.col(g_hash)) & (at <= F.col(g_words)) & (at >= F.col(g_words))
+        one = one.join(g, same, "left").where(F.col(g_hash).isNotNull() | ((F.col(kind) == 0) & (F.coalesce(F.col(pos), F.lit(0)) == 0)))
+        place = F.when(F.col(g_hash).isNotNull(), F.struct(F.col(pos).alias("pos"), length.alias("len")))
+        found.append(one.select(*[F.col(f"`{c}`") for c in (uid, m, *keep)], place.alias(span), F.col(g_items).alias(its)))
     all_found = found[0]
     for more in found[1:]:
         all_found = all_found.unionByName(more)
     firsts = [F.first(F.col(f"`{c}`")).alias(c) for c in keep]
-    out = all_found.groupBy(uid).agg(*firsts, F.first(m).alias(private_name(docs, "n_words")), F.sort_array(F.collect_set("span")).alias(private_name(docs, "spans")), F.sort_array(F.array_distinct(F.flatten(F.collect_set("its")))).alias(private_name(docs, "items")))
+    out = all_found.groupBy(uid).agg(*firsts, F.first(m).alias(private_name(docs, "n_words")), F.sort_array(F.collect_set(span)).alias(private_name(docs, "spans")), F.sort_array(F.array_distinct(F.flatten(F.collect_set(its)))).alias(private_name(docs, "items")))
     return out.drop(uid)
 
 
@@ -92,14 +97,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     dropped like the others, as ids are compared null-safely and by the hash of the text.
     """
     key, body = private_name(docs, "doc_key"), private_name(docs, "body_hash")
-    keyed = docs.select(F.col(doc_id).alias("bad_id"), F.xxhash64(text).alias("bad_hash"), F.col(text).alias("bad_text"))
+    bad_id, bad_hash = private_name(docs, "bad_id"), private_name(docs, "bad_hash")
+    keyed = docs.select(F.col(doc_id).alias(bad_id), F.xxhash64(text).alias(bad_hash), F.col(text).alias("bad_text"))
     bad = hits(keyed, benchmark, text="bad_text", **how)
-    bad = bad.where(covered(F.col("spans")) > drop_above * F.col("n_words")).select("bad_id", "bad_hash").distinct()
+    bad = bad.where(covered(F.col("spans")) > drop_above * F.col("n_words")).select(bad_id, bad_hash).distinct()
     out = docs.withColumns({key: F.col(doc_id), body: F.xxhash64(text)})
     bad = checkpointed(bad)
     if bad.count() <= MAX_BROADCAST_IDS:
         bad = F.broadcast(bad)
-    out = out.join(bad, F.col(key).eqNullSafe(F.col("bad_id")) & (F.col(body) == F.col("bad_hash")), "left_anti")
+    out = out.join(bad, F.col(key).eqNullSafe(F.col(bad_id)) & (F.col(body) == F.col(bad_hash)), "left_anti")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

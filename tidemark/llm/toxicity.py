@@ -12,7 +12,7 @@ by its context, a window of words around it: less inside quotation marks or besi
 more beside a second person.
 
 Every text is scored whole, alone and without a shuffle. Defined cases: null, empty and wordless texts get the score of no
-evidence; rows that share a doc_id are scored each by its own text; a null doc_id is not held out; without labelled
+evidence; rows that share a doc_id are scored each by its own text, and the least text is learned from; a null doc_id is not held out; without labelled
 rows of both classes the lexicon is empty and all get the same score; other columns pass through.
 """
 
@@ -276,8 +276,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_
     """Texts and labels of at most `sample` labelled rows that are not held out, those whose ids have the least hashes."""
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(~held_out(doc_id)).groupBy(F.col(doc_id).alias("label_id")).agg(F.max(F.col(label)).alias("y"))
     ids = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    rows = docs.join(F.broadcast(ids), docs[doc_id] == ids["label_id"]).select("label_id", F.col(text).alias("t"), "y")
-    rows = rows.dropDuplicates(["label_id"]).orderBy("label_id").collect()
+    texts = docs.select(F.col(doc_id).alias("text_id"), F.col(text).alias("t"))
+    rows = texts.join(F.broadcast(ids), F.col("text_id") == F.col("label_id")).groupBy("label_id").agg(F.min("t").alias("t"), F.min("y").alias("y"))  # of several texts the least
+    rows = rows.orderBy("label_id").collect()
     return [r["t"] or "" for r in rows], [int(r["y"] > 0) for r in rows]
 
 
