@@ -216,23 +216,43 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [-2.0, 0.0, 0.0, 0.0])
 
 
-def fit_lexicon(texts: list[list[str]], toxic: list[int], purity: float = 0.95, chance: float = 0.01) -> list[tuple[str, bool, bool]]:
+def numbered(texts: Iterable[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, "" first; numbers of the words of all texts in turn; where each text begins in them, and the end)."""
+    numbers: dict[str, int] = {"": 0}
+    parts, ends = [np.zeros(0, np.int32)], [0]
+    for t in texts:
+        parts.append(np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t)], np.int32))
+        ends.append(ends[-1] + len(parts[-1]))
+    return list(numbers), np.concatenate(parts), np.array(ends)
+
+
+def fit_lexicon(names: list[str], words: np.ndarray, ends: np.ndarray, toxic: np.ndarray, purity: float = 0.95, chance: float = 0.01) -> list[tuple[str, bool, bool]]:
     """Entries whose texts are toxic too often to be so by chance, given how many words there are to choose from.
 
-    A word counts once for each word it follows, so that copies of a text count as one text.
+    A word of toxic texts counts once for each word it follows, so that copies of a text count as one text.
     """
-    bad, good, endings, seen = Counter(), Counter(), defaultdict(Counter), set()
-    for words, y in zip(texts, toxic, strict=True):
-        for last, w in zip(["", *words], words, strict=False):
-            if len(w) < 3 or (last, w) in seen and y:
-                continue
-            seen.add((last, w))
-            keys = [(w, False), *((w[:k], True) for k in range(4, min(8, len(w))))]
-            (bad if y else good).update(keys)
-            if y:
-                for k, _ in keys[1:]:
-                    endings[k][w] += 1
-    rate = min(max(sum(map(len, (w for w, y in zip(texts, toxic, strict=True) if y))) / max(1, sum(map(len, texts))), 1e-3), 0.9)
+    size = np.diff(ends)
+    y = np.repeat(toxic > 0, size)
+    last = np.concatenate([[0], words[:-1]])
+    last[ends[:-1][size > 0]] = 0
+    long = np.array([len(w) >= 3 for w in names])[words]
+    pair = last.astype(np.int64) * len(names) + words
+    first = np.zeros(len(words), bool)
+    first[np.flatnonzero(long)[np.unique(pair[long], return_index=True)[1]]] = True
+    bad_of, good_of = (np.bincount(words[at], minlength=len(names)) for at in (long & y & first, long & ~y))
+    stems_of = lambda w: (w[:k] for k in range(4, min(8, len(w))))
+    bad = Counter({(names[i], False): int(bad_of[i]) for i in np.flatnonzero(bad_of)})
+    endings: dict[str, dict[str, int]] = defaultdict(dict)
+    for (w, _), n in list(bad.items()):
+        for k in stems_of(w):
+            bad[k, True] += n
+            endings[k][w] = n
+    good = Counter({(w, False): int(n) for w, n in zip(names, good_of, strict=True) if n and (w, False) in bad})
+    for i in np.flatnonzero(good_of):
+        for k in stems_of(names[i]):
+            if k in endings:
+                good[k, True] += int(good_of[i])
+    rate = min(max(int(y.sum()) / max(1, len(words)), 1e-3), 0.9)
     least = max(3, int(np.ceil(np.log(chance / max(1, sum(n > 2 for n in bad.values()))) / np.log(rate))))
     pure = lambda e: bad[e] >= least and bad[e] >= purity * (bad[e] + good[e])
     stems: list[str] = []
@@ -242,20 +262,24 @@ def fit_lexicon(texts: list[list[str]], toxic: list[int], purity: float = 0.95,
             whole = os.path.commonprefix(list(endings[e]))
             if not any(whole.startswith(s) for s in stems):
                 stems = [*(s for s in stems if not s.startswith(whole)), whole]
-    words = sorted(w for w, stem in bad if not stem and pure((w, False)) and not any(w.startswith(s) for s in stems))
-    return [*((s, True, False) for s in stems), *((w, False, len(w) >= 5) for w in words)]
+    kept = sorted(w for w, stem in bad if not stem and pure((w, False)) and not any(w.startswith(s) for s in stems))
+    return [*((s, True, False) for s in stems), *((w, False, len(w) >= 5) for w in kept)]
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     if not 0 < sum(toxic) < len(toxic):
         return Model()
-    words = [words_of(t) for t in texts]
-    entries = fit_lexicon(words, toxic)
+    names, words, ends = numbered(texts)
+    entries = fit_lexicon(names, words, ends, np.array(toxic))
     # Errors are allowed where they bring in next to no clean text.
     lexicon, bad, good = Lexicon(entries), Counter(), Counter()
-    for own, y in zip(words, toxic, strict=True):
-        for entry in {m[0] for m in lexicon.hits(own).values() if m[1]}:
-            (bad if y else good)[entry] += 1
+    near = {i: m[0] for i, w in enumerate(names) if (m := lexicon.match(w)) and m[1]}
+    marks = np.zeros(len(names), bool)
+    marks[list(near)] = True
+    for lo, hi, y in zip(ends[:-1], ends[1:], toxic, strict=True):
+        own = words[lo:hi]
+        (bad if y else good).update({near[i] for i in own[marks[own]].tolist()})
+    del names, words, near
     entries = [(e, stem, fuzzy and good[e] <= max(1, bad[e] // 10)) for e, stem, fuzzy in entries]
     lexicon = Lexicon(entries)
     x = np.array([features(*evidence(t, lexicon)[:2]) for t in texts])
