@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import shingles
 from tidemark.llm import toxicity
@@ -58,3 +59,38 @@ def test_each_stage(spark, stages):
     assert set(ids[3]) == clean
     assert set(ids[4]) <= clean and max(ids[4].values()) <= 2 and ids[5] == ids[4]
     assert sorted({r["shard"] for r in stages[5].collect()}) == list(range(24))
+
+
+def test_stages_of_an_odd_table(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows and other columns with names that operators use."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    base = " ".join(f"word{i}" for i in range(60))
+    item = " ".join(f"bench{i}" for i in range(12))
+    rows = [(1, base, "en", "a", 1), (1, base, "en", "a", 1), (2, base + " end", "en", "a", 1), (3, None, None, None, None), (4, "", "en", "b", 0), (None, base + " other end", "en", None, 1)]
+    rows += [(5, item, "en", "b", 1), (6, "long " * 200_000, "en", "b", 1), (7, "long " * 200_000 + "x", "en", "b", 1), (None, None, None, None, None), (8, "one two", None, "c", 2)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, 0), (None, None, None), (8, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = ["kind", "pos", "hash", "span", "its", "g_hash", "bad_id", "bad_hash", "label_id", "y", "score", "later_id", "row_key", "uid", "n_copies", "rate", "target", "shard", "slot", "size", "group", "cell"]
+    docs = table(spark, str(tmp_path), "documents").withColumns({c: F.lit(1) for c in odd})
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, str(tmp_path))
+        assert name == "sharding" or after.columns == docs.columns
+        after.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        out.append(sorted((str(r["doc_id"]) for r in docs.collect())))
+    assert out[0] == sorted(str(r[0]) for r in rows)  # no model, no toxic text
+    assert out[1] == ["1", "3", "4", "5", "6", "7", "8", "None"] and out[2] == ["1", "3", "4", "6", "7", "8", "None"]
+    assert set(out[3]) <= set(out[2]) and out[4] == out[3]
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert toxicity.op4_toxicity(spark, str(tmp_path)).count() == 0

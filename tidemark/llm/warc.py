@@ -11,7 +11,7 @@ tasks that count in a manifest, so what lost or repeated tasks left is never rea
 
 Defined cases: null payloads are empty; a null url has no WARC-Target-URI and is read as null; control characters in a url
 are percent-encoded in the header and decoded on reading; a null page_id is written without X-Page-Id and is read as null;
-rows that share a page_id are records each; an empty table gives an archive without records; other columns are ignored.
+rows that share a page_id are records each (of one id where their payloads are equal too); an empty table gives an archive without records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +33,22 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from tidemark.llm.common import checkpointed, shared_dir, table
 
-SCHEMA = "record_id string, record_type string, target_uri string, page_id long, refers_to string, payload_digest string, payload_length long, content_length long, payload binary"
+SCHEMA = "record_id string, record_type string, target_uri string, page_id long, refers_to string, refers_to_page long, payload_digest string, payload_length long, content_length long, payload binary"
 #: Column by header; these can be filtered on before a payload is read.
-HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "page_id": "x-page-id", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
+HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "page_id": "x-page-id", "refers_to": "warc-refers-to", "refers_to_page": "x-refers-to-page", "payload_digest": "warc-payload-digest"}
 #: Files are put together into partitions of about this many bytes; rows are sent to Spark in batches of about that many.
 PARTITION, BATCH = 128 << 20, 4 << 20
 MANIFEST = "_manifest"
 #: Payloads shorter than this are stored each time; digests (about 100 bytes each) are broadcast up to so many.
 LEAST, MAX_BROADCAST = 100, 500_000
-ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("content_length", pa.int64()), ("payload", pa.binary())])
+ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.string()), ("refers_to_page", pa.int64()), ("payload_digest", pa.string()), ("payload_length", pa.int64()), ("content_length", pa.int64()), ("payload", pa.binary())])
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark's configuration gives it, which no worker need know then."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -85,7 +92,7 @@ def column(headers: dict[str, str], name: str):
     value = headers.get(HEADERS[name])
     if value is None:
         return None
-    if name == "page_id":
+    if name in ("page_id", "refers_to_page"):
         return int(value)
     if name == "target_uri":
         return unquote(value, errors="replace") if "%0" in value or "%1" in value or "%25" in value else value
@@ -167,6 +174,11 @@ def header(name: str, value: str) -> bytes:
     return f"{name}: {value}\r\n".encode()
 
 
+def record_id(page: int | None, digest: str) -> str:
+    """The record of a page's payload; the same for a response and the revisits that refer to it. Without a page, any."""
+    return f"<urn:uuid:{uuid.uuid4() if page is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}')}>"
+
+
 def encoded(url: str) -> str:
     """url on one line: control characters, and percent signs where needed, as percent codes."""
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url.replace("%", "%25")) if re.search(r"[\x00-\x1f\x7f]|%0|%1|%25", url) else url
@@ -195,16 +207,16 @@ class WarcWriter(DataSourceArrowWriter):
 
     @staticmethod
     def record(row: dict) -> bytes:
-        page, url, refers = (row[c].as_py() for c in ("page_id", "url", "refers_to"))
+        page, url, refers, digest = (row[c].as_py() for c in ("page_id", "url", "refers_to", "payload_digest"))
         body = b"" if refers is not None else row["payload"].as_py() or b""
-        lines = [b"WARC/1.1\r\n", header("WARC-Type", "response" if refers is None else "revisit"), header("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), header("WARC-Date", "2024-01-01T00:00:00Z")]
+        lines = [b"WARC/1.1\r\n", header("WARC-Type", "response" if refers is None else "revisit"), header("WARC-Record-ID", record_id(page, digest)), header("WARC-Date", "2024-01-01T00:00:00Z")]
         if url is not None:
             lines.append(header("WARC-Target-URI", encoded(url)))
         if page is not None:
             lines.append(header("X-Page-Id", str(page)))
-        lines.append(header("WARC-Payload-Digest", f"sha256:{row['payload_digest'].as_py()}"))
+        lines.append(header("WARC-Payload-Digest", f"sha256:{digest}"))
         if refers is not None:
-            lines += [header("WARC-Refers-To", f"<urn:page:{refers}>"), header("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), header("X-Payload-Length", str(row["payload_length"].as_py()))]
+            lines += [header("WARC-Refers-To", record_id(refers, digest)), header("X-Refers-To-Page", str(refers)), header("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), header("X-Payload-Length", str(row["payload_length"].as_py()))]
         lines += [header("Content-Type", "text/html; charset=utf-8"), header("Content-Length", str(len(body))), b"\r\n", body, b"\r\n\r\n"]
         return b"".join(lines)
 
@@ -245,7 +257,7 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST) -> None:
@@ -262,7 +274,7 @@ def write_pages(pages: DataFrame, path: str, page_id: str = "page_id", url: str
     rows = rows.join(firsts, F.col("payload_digest") == F.col("digest"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     out = rows.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_digest", "payload_length", refers.alias("refers_to"))
-    out.write.format("warc").mode("append").save(path)
+    out.write.format("warc").mode("append").save(qualified(pages.sparkSession, path))
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
@@ -271,7 +283,7 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     responses = read(spark, path).where("record_type = 'response'")
     responses = responses.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     revisits = read(spark, path, payload=False).where("record_type = 'revisit'")
-    revisits = revisits.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", F.regexp_extract("refers_to", "(-?[0-9]+)$", 1).cast("long").alias("refers_to"))
+    revisits = revisits.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
     return responses.unionByName(revisits)
 
 
