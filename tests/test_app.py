@@ -135,6 +135,51 @@ def test_value_index_lives(spark, tmp_path):
     assert column_key("a + b").startswith("x") and column_key("a") == "a"
 
 
+def test_an_index_leaves_narrowed_breakdowns_alone_unless_names_say_how(spark, tmp_path):
+    from tidemark.operators.events import events
+    from tidemark.specs import EventsSpec
+
+    day = lambda n: dt.datetime(2026, 1, n)
+    source = spark.createDataFrame([("a", day(1), "e1", "x"), ("a", day(2), "e2", "y"), ("a", day(3), "e3", None), *[("c", day(4), "e3", None)] * 20], "u string, t timestamp_ntz, e string, plan string")
+    index = ValueIndex(spark, str(tmp_path), source, Mapping("s", "u", "t", "e"), dt.datetime(2026, 1, 12))
+    index.apply({"plan": "build"} | index.plan(["plan"]))
+    b = Breakdown("plan", at="carried", fill_from="e = 'e1'")
+    assert index.attach(b) is b
+    run = lambda x: sorted(map(str, events(spark, EventsSpec(source, "u", "t", "total", breakdowns=(x,), exact=True, event_time_column="t")).collect()))
+    assert run(index.attach(b, ["e1"])) == run(b)
+
+
+def test_an_index_of_many_names_counts_them_together(spark, tmp_path, monkeypatch):
+    from tidemark.operators import valueindex
+
+    monkeypatch.setattr(valueindex, "MAX_NAMES", 1)
+    monkeypatch.setattr(valueindex, "MAX_BROADCAST", 0)
+    day = lambda n: dt.datetime(2026, 1, n)
+    data = [("a", day(1), "e1", "x"), ("b", day(2), "e2", "y"), *[("c", day(4), "e3", None)] * 20]
+    schema = "u string, t timestamp_ntz, e string, plan string"
+    index = ValueIndex(spark, str(tmp_path), spark.createDataFrame(data, schema), Mapping("s", "u", "t", "e"), dt.datetime(2026, 1, 12))
+    index.apply(index.plan(["plan"]))
+    assert index.entries["plan"].counts == {"*": 2}
+    index.source = spark.createDataFrame([*data, ("d", day(2), "e2", "z")], schema)
+    index.apply({"plan": "refresh"})
+    assert index.read().count() == 3 and index.entries["plan"].counts == {"*": 3}
+
+
+def test_no_entity_is_no_one(spark):
+    from tidemark.operators.funnel import funnel
+    from tidemark.operators.retention import retention
+    from tidemark.specs import FunnelSpec, RetentionSpec
+
+    day = lambda n: dt.datetime(2026, 1, n)
+    source = spark.createDataFrame([("a", day(1), "x"), ("a", day(9), "y"), (None, day(1), "x"), (None, day(9), "y"), ("b", day(2), "x")], "u string, t timestamp_ntz, e string")
+    out = retention(spark, RetentionSpec(source, "u", "t", "t", 7, 1, "true")).collect()
+    assert [(r["period_index"], r["cohort_size"], r["retained_entities"]) for r in out] == [(0, 2, 2), (1, 2, 1)]
+    only = retention(spark, RetentionSpec(source.where("u IS NULL"), "u", "t", "t", 7, 1, "true")).collect()
+    assert [(r["period_index"], r["cohort_size"], r["retained_entities"], r["retention_pct"]) for r in only] == [(0, 0, 0, None), (1, 0, 0, None)]
+    steps = funnel(spark, FunnelSpec(source, "u", "t", ("e = 'x'", "e = 'y'"))).collect()
+    assert [r["entities"] for r in steps] == [3, 1]
+
+
 def test_density_gate(spark, tmp_path):
     source = spark.createDataFrame([("a", dt.datetime(2026, 1, 1), "e", "x")], "u string, t timestamp_ntz, e string, plan string")
     index = ValueIndex(spark, str(tmp_path), source, Mapping("s", "u", "t", "e"), dt.datetime(2026, 1, 2))
