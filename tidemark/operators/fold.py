@@ -18,7 +18,8 @@ def top_labels(rows: DataFrame, labels: list[str], n: int, exact: bool = True, r
     Without exact a single column is ranked by a sketch, which leaves null out.
     """
     if not exact and len(labels) == 1 and rank is None:
-        items = rows.where(quoted(labels[0]).isNotNull()).agg(F.expr(f"approx_top_k(`{labels[0]}`, {n}, {max(10_000, 10 * n)})").alias("x"))
+        name = "`" + labels[0].replace("`", "``") + "`"
+        items = rows.where(quoted(labels[0]).isNotNull()).agg(F.expr(f"approx_top_k({name}, {n}, {max(10_000, 10 * n)})").alias("x"))
         return items.select(F.explode("x").alias("x")).select(F.col("x.item").alias(labels[0]))
     ranked = rows.groupBy(*(quoted(x) for x in labels)).agg((F.count("*") if rank is None else rank).alias("__tm_rank"))
     return ranked.orderBy(F.col("__tm_rank").desc_nulls_last(), *(quoted(x).asc_nulls_last() for x in labels)).limit(n).drop("__tm_rank")

@@ -23,12 +23,15 @@ def retention(spark: SparkSession, spec: RetentionSpec) -> DataFrame:
     rows = refuse(filtered(relation(spark, spec.source), spec.where), DERIVED)
     # Named before the window: Spark then knows that both steps are partitioned alike.
     rows = rows.withColumns({"__tm_entity": col(spec.entity), "__tm_start": col(spec.entity_time), "__tm_time": col(spec.event_time)})
-    rows = rows.withColumn("cohort_ts", F.min("__tm_start").over(W.partitionBy("__tm_entity")))
+    # Rows without an entity are no one's: their cohort is a minimum that tasks combine, and they aren't shuffled as one key.
+    nobody = rows.where("__tm_entity IS NULL").agg(F.min("__tm_start").alias("cohort_ts"), F.count("*").alias("n")).where("n > 0")
+    rows = rows.where("__tm_entity IS NOT NULL").withColumn("cohort_ts", F.min("__tm_start").over(W.partitionBy("__tm_entity")))
     rows = rows.withColumn("offset_days", days_between(F.col("cohort_ts"), F.col("__tm_time")))
     rows = rows.withColumn("period_index", F.floor(F.col("offset_days") / spec.period_days).cast("int"))
     rows = rows.withColumn("within_period_offset", F.col("offset_days") - F.col("period_index") * spec.period_days)
     kept = F.col("period_index").between(0, spec.n_periods) & col(spec.retained)
     periods = rows.groupBy("__tm_entity").agg(F.min("cohort_ts").alias("cohort_ts"), F.collect_set(F.when(kept, F.col("period_index"))).alias("__tm_periods"))
+    periods = periods.unionByName(nobody.select(F.lit(None).cast(rows.schema["__tm_entity"].dataType).alias("__tm_entity"), "cohort_ts", F.array().cast("array<int>").alias("__tm_periods")))
     cells = periods.select(col(spec.cohort_bucket).alias("cohort"), "__tm_entity", "__tm_periods", grid(spec.n_periods).alias("period_index"))
     # A null entity has a row of the grid but is no one.
     there = F.col("__tm_entity").isNotNull()

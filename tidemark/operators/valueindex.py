@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timedelta
-from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,8 @@ from tidemark.specs import Breakdown, Values
 COLUMNS = ("column_key", "entity", "at", "value", "event_name")
 SCHEMA = "column_key string, entity {entity}, at timestamp_ntz, value string, event_name string"
 MAX_DENSITY, PROBE_DAYS, PROBE_TTL = 0.25, 30, timedelta(days=7)
+#: Bookmarks that are broadcast, and names whose counts the registry keeps, up to so many; of more, one count for all.
+MAX_BROADCAST, MAX_NAMES, ALL = 100_000, 10_000, "*"
 LOOKBACK_DAYS, REFRESH_AFTER, DROP_AFTER, SWEEP_EVERY = 3, timedelta(days=7), timedelta(days=60), timedelta(hours=24)
 
 
@@ -48,7 +49,9 @@ def bookmarks(index: DataFrame) -> DataFrame:
 def anti_append(index: DataFrame, fresh: DataFrame, marks: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """Rows of fresh that the index lacks, from each name's bookmark less the lookback on; names without a bookmark in full."""
     floor = marks.select(F.col("column_key").alias("k"), F.col("event_name").alias("m"), (F.col("last_at") - F.make_dt_interval(F.lit(lookback_days))).alias("floor"))
-    near = fresh.join(F.broadcast(floor), (F.col("column_key") == F.col("k")) & F.col("event_name").eqNullSafe(F.col("m")), "left")
+    if floor.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        floor = F.broadcast(floor)
+    near = fresh.join(floor, (F.col("column_key") == F.col("k")) & F.col("event_name").eqNullSafe(F.col("m")), "left")
     near = near.where("floor IS NULL OR at >= floor").drop("k", "m", "floor")
     have = index.select(*(F.col(c).alias(f"i_{c}") for c in COLUMNS))
     same = null_safe([F.col(c) for c in COLUMNS], [F.col(f"i_{c}") for c in COLUMNS])
@@ -163,17 +166,21 @@ class ValueIndex:
         rows = rows.repartition("column_key", "entity").sortWithinPartitions("column_key", "entity", "at")
         rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("column_key").parquet(f"{self.path}/rows")
 
-    def _counts(self, keys: list[str]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in keys}
-        for r in bookmarks(self.read().where(F.col("column_key").isin(keys))).collect():  # a row for each event name
-            out[r["column_key"]].append(r)
+    def _counts(self, keys: list[str]) -> dict[str, tuple[dict[str, int], datetime | None]]:
+        """For each column: rows by event name (as JSON), or of all where there are over MAX_NAMES; and the last instant."""
+        marks = bookmarks(self.read().where(F.col("column_key").isin(keys)))
+        sums = {r["column_key"]: r for r in marks.groupBy("column_key").agg(F.count("*").alias("names"), F.sum("rows").alias("rows"), F.max("last_at").alias("last_at")).collect()}
+        few = [k for k, r in sums.items() if r["names"] <= MAX_NAMES]
+        out = {k: ({ALL: sums[k]["rows"]} if k in sums else {}, sums[k]["last_at"] if k in sums else None) for k in keys}
+        out |= {k: ({}, sums[k]["last_at"]) for k in few}
+        for r in marks.where(F.col("column_key").isin(few)).collect():
+            out[r["column_key"]][0][json.dumps(r["event_name"])] = r["rows"]
         return out
 
     def _record(self, keys: list[str]) -> None:
-        for key, rows in self._counts(keys).items():
+        for key, (counts, last) in self._counts(keys).items():
             entry = self.entries[key]
-            entry.counts = {json.dumps(r["event_name"]): r["rows"] for r in rows}
-            last = max((r["last_at"] for r in rows), default=None)
+            entry.counts = counts
             entry.last_at = last.isoformat() if last else None
             done = (last or self.now - timedelta(days=3650)) - timedelta(days=max(1, LOOKBACK_DAYS))
             entry.complete_until = done.replace(hour=0, minute=0, second=0, microsecond=0).isoformat()
@@ -182,7 +189,13 @@ class ValueIndex:
     def _refresh(self, keys: list[str]) -> None:
         """Adds new rows; a column whose counts have shrunk since the last time has lost rows and is built anew."""
         counts = self._counts(keys)
-        lost = [k for k in keys if any({json.dumps(r["event_name"]): r["rows"] for r in counts[k]}.get(n, 0) < c for n, c in self.entries[k].counts.items())]
+        lost = []
+        for k in keys:
+            before, after = self.entries[k].counts, counts[k][0]
+            if ALL in before or ALL in after:
+                before, after = ({ALL: sum(x.values())} for x in (before, after))
+            if any(after.get(n, 0) < c for n, c in before.items()):
+                lost.append(k)
         if lost:
             self._write(self._rows(lost), "overwrite")
         whole = [k for k in keys if k not in lost]
@@ -236,8 +249,11 @@ class ValueIndex:
     def attach(self, b: Breakdown, names: list[str] | None = None) -> Breakdown:
         """b reading from the index, with the source itself after its day of completeness; b as it is if its column isn't there.
 
-        names: event names that may record values, for breakdowns with a fill_from of just that.
+        names: event names that may record values, which must be what fill_from says: without them a breakdown with a
+        fill_from stays as it is, as the index doesn't know which of its rows satisfy it.
         """
+        if b.fill_from is not None and names is None:
+            return b
         key = column_key(b.expr) if isinstance(b.expr, str) else None
         entry = self.entries.get(key) if key else None
         if entry is None or not entry.complete_until or b.at == "rows" or not self.exists(key):
@@ -249,8 +265,7 @@ class ValueIndex:
         # Rows later than the day of completeness come from the source; those of the index there may be incomplete.
         until = datetime.fromisoformat(entry.complete_until)
         rows = rows.where(F.col("at") <= F.lit(until).cast("timestamp_ntz")).select("entity", "at", F.col("value").cast(kind).alias("value"))
-        changed: dict[str, Any] = {"values": Values(rows), "complete_until": F.lit(until).cast("timestamp_ntz")}
-        return Breakdown(**({f: getattr(b, f) for f in b.__dataclass_fields__} | changed))
+        return replace(b, values=Values(rows), complete_until=F.lit(until).cast("timestamp_ntz"))
 
 
 def with_fallback(indexed, live):

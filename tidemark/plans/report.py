@@ -196,5 +196,6 @@ def report(spark: SparkSession, form: dict[str, Any], now: datetime | None = Non
     labels = [c for c in df.columns if c not in ("bucket", "value")]
     grain, limit = grain_of(form), int(form.get("row_limit") or ROW_LIMIT)
     if grain in CYCLIC:
-        return fill_cycle(df.limit(limit), grain, labels, form.get("week_start") or "monday").withColumn("incomplete", F.lit(False))
+        some = df.orderBy("bucket", *(quoted(x) for x in labels)).limit(limit)  # the same rows each time it is read
+        return fill_cycle(some, grain, labels, form.get("week_start") or "monday").withColumn("incomplete", F.lit(False))
     return most_recent(df, "bucket", limit, tuple(labels)).withColumn("incomplete", F.coalesce(F.col("bucket") == current_bucket(form, now), F.lit(False)))

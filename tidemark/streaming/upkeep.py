@@ -17,7 +17,8 @@ def index_stream(source: DataFrame, columns: dict[str, str], entity: str, at: st
     return out.writeStream.format("parquet").option("checkpointLocation", checkpoint).partitionBy("column_key").trigger(availableNow=True).start(path)
 
 
-def totals(source: DataFrame, at: str, length: str = "1 day", slide: str | None = None, late: str = "1 day", by: tuple[str, ...] = ()) -> DataFrame:
-    """window, keys, total, uniques-ready counts of a stream in tumbling or sliding windows; late rows count until the watermark passes."""
+def totals(source: DataFrame, at: str, length: str = "1 day", slide: str | None = None, late: str = "1 day", by: tuple[str, ...] = (), entity: str | None = None) -> DataFrame:
+    """window, keys, total, and with an entity uniques (by a sketch, so that state stays small), of a stream in tumbling or
+    sliding windows; late rows count until the watermark passes."""
     timed = source.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
-    return timed.groupBy(F.window(at, length, slide), *by).agg(F.count("*").alias("total"))
+    return timed.groupBy(F.window(at, length, slide), *by).agg(F.count("*").alias("total"), *([] if entity is None else [F.approx_count_distinct(entity).alias("uniques")]))
