@@ -180,6 +180,93 @@ def test_no_entity_is_no_one(spark):
     assert [r["entities"] for r in steps] == [3, 1]
 
 
+def test_an_index_repairs_names_and_is_recovered(spark, tmp_path):
+    day = lambda n: dt.datetime(2026, 1, n)
+    data = [("a", day(1), "e1", "x"), ("b", day(2), "e2", "y"), ("d", day(3), None, "z"), *[("c", day(4), "e3", None)] * 20]
+    schema = "u string, t timestamp_ntz, e string, plan string"
+    source, mapping, now = spark.createDataFrame(data, schema), Mapping("s", "u", "t", "e"), dt.datetime(2026, 1, 12)
+    index = ValueIndex(spark, str(tmp_path), source, mapping, now)
+    index.apply(index.plan(["plan"]))
+    before = catalog.census_by_name(catalog.census(source, "e", "t"))
+    index.source = spark.createDataFrame([r for r in data if r[2] != "e1"] + [("q", day(1), "e2", "w")], schema)
+    names = index.repair_names(catalog.census_by_name(catalog.census(index.source, "e", "t")), before)
+    assert sorted(names) == ["e1", "e2"] and sorted(r["value"] for r in index.read().collect()) == ["w", "y", "z"]
+    index.forget_names([None])
+    assert sorted(r["value"] for r in index.read().collect()) == ["w", "y"]
+    index.entries = {}
+    index._save()
+    assert index.reconcile(["other", "plan"]) == ["plan"] and index.plan(["plan"], probe=False) == {"plan": "attach"}
+    index.entries["lost"] = type(index.entries["plan"])("lost", complete_until="2026-01-01")
+    assert index.reconcile(["plan"]) == [] and set(index.entries) == {"plan"}
+    other = ValueIndex(spark, str(tmp_path), source, Mapping("s", "u", "t", "x"), now)
+    assert other.reconcile(["plan"]) == [] and not other.exists("plan")  # written under another mapping
+    index.forget_names(["e1", "e2"])
+    assert index.plan(["plan"], probe=False) != {"plan": "attach"}
+
+
+def test_census_is_kept(spark, tmp_path):
+    at = lambda m, d: dt.datetime(2026, m, d)
+    data = [("a", at(1, 5)), ("a", at(2, 5)), ("b", at(2, 6))]
+    cache, now = catalog.CensusCache(spark, str(tmp_path / "census")), dt.datetime(2026, 2, 10)
+    read = lambda rows, now, key="s": sorted((r["value"], r["month"].month, r["rows"]) for r in cache.get(spark.createDataFrame(rows, "e string, t timestamp_ntz"), key, "e", "t", now).collect())
+    assert read(data, now) == [("a", 1, 1), ("a", 2, 1), ("b", 2, 1)]
+    more = [*data, ("b", at(2, 20)), ("b", at(1, 1))]
+    assert read(more, now + dt.timedelta(hours=1)) == read(data, now)  # fresh enough
+    assert read(more, now + dt.timedelta(days=20)) == [("a", 1, 1), ("a", 2, 1), ("b", 2, 2)]  # months long past aren't counted again
+    assert read(more, now + dt.timedelta(days=20), "t") == [("a", 1, 1), ("a", 2, 1), ("b", 1, 1), ("b", 2, 2)]
+
+
+def test_layouts_are_judged(spark, tmp_path):
+    rows = spark.range(4000).select((F.col("id") % 4).alias("k"), F.expr("TIMESTAMP_NTZ '2026-01-01' + make_interval(0, 0, 0, 0, id)").alias("t"), F.concat(F.lit("e"), (F.col("id") % 3).cast("string")).alias("e"))
+    rows.repartition(4).write.parquet(str(tmp_path / "flat"))
+    relations.replace(rows, "laid_out", day_of="t", cluster_by=("e",))
+    flat = {x["check"]: x["ok"] for x in catalog.diagnose(spark.read.parquet(str(tmp_path / "flat")), "t", "e", least=0)}
+    laid = {x["check"]: x["ok"] for x in catalog.diagnose(spark.table("laid_out"), "t", "e", least=0)}
+    assert not flat["partitions"] and not flat["time"] and laid["partitions"] and laid["time"] and not laid["events"]
+    assert catalog.layout(spark, "laid_out")["partition"] == ["event_day"]
+    assert catalog.bytes_touched(spark.table("laid_out"), "t < TIMESTAMP_NTZ '2026-01-02'") < catalog.bytes_touched(spark.table("laid_out"))
+    relations.replace(rows, "sorted_only", cluster_by=("e",))
+    assert spark.table("sorted_only").count() == 4000
+
+
+def test_access_and_problems(spark, tmp_path):
+    from tidemark.plans.runner import problem
+
+    spark.range(3).write.parquet(str(tmp_path / "x"))
+    assert catalog.access(spark, str(tmp_path / "x"), str(tmp_path / "out")) == {"read": True, "write": True, "problem": None}
+    assert catalog.access(spark, str(tmp_path / "none")) == {"read": False, "write": None, "problem": "missing_relation"}
+    kinds = []
+    for sql in ("SELECT no_such FROM range(1)", "SELEC 1", "SELECT no_such(1)", "SELECT * FROM no_such", "SELECT 1 + ARRAY(1)"):
+        with pytest.raises(Exception) as e:
+            spark.sql(sql).collect()
+        kinds.append(problem(e.value))
+    assert kinds == ["missing_column", "syntax", "unknown_function", "missing_relation", "wrong_type"]
+    assert [problem(x) for x in (CapExceeded(2, 1), TimeoutError(), PermissionError("Permission denied"), ValueError("x"))] == ["too_large", "timeout", "no_permission", "other"]
+
+
+def test_preferences(spark, tmp_path):
+    from tidemark.operators.filters import shown_hour, shown_number
+    from tidemark.plans.preferences import Preferences
+
+    own = Preferences(spark, str(tmp_path / "settings.json"))
+    assert own.all()["timezone"] == "UTC" and own.set(week_start="sunday", top_n=5)["top_n"] == 5
+    assert own.form({"top_n": 3})["top_n"] == 3 and own.form({})["week_start"] == "sunday"
+    for bad in ({"week_start": "friday"}, {"nothing": 1}, {"top_n": "5"}, {"exact": 1}):
+        with pytest.raises(ValueError):
+            own.set(**bad)
+    (tmp_path / "old.json").write_text('{"grain": "century", "old": 1, "exact": true}')
+    own = Preferences(spark, str(tmp_path / "old.json"))
+    assert own.all()["grain"] == "day" and own.all()["exact"] is True
+    assert [hour(shown_hour(h, s)) for h in (0, 9, 12, 23) for s in ("12", "24")] == [0, 0, 9, 9, 12, 12, 23, 23]
+    assert [float(number(shown_number(x, d), d)) for x in (1234567, 1234.5) for d in (".", ",")] == [1234567, 1234567, 1234.5, 1234.5]
+
+
+def test_time_of_day_filters(spark):
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    df = spark.sql("SELECT id, make_time(CAST(id AS INT), 30, CAST(0 AS DECIMAL(16, 6))) AS h FROM range(24)")
+    assert ids(df, Filter("h", "before", "02:00")) == [0, 1] and ids(df, Filter("h", "between", ["22:00", "23:45"])) == [22, 23]
+
+
 def test_density_gate(spark, tmp_path):
     source = spark.createDataFrame([("a", dt.datetime(2026, 1, 1), "e", "x")], "u string, t timestamp_ntz, e string, plan string")
     index = ValueIndex(spark, str(tmp_path), source, Mapping("s", "u", "t", "e"), dt.datetime(2026, 1, 2))

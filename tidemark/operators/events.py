@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import col, quoted, refuse
@@ -13,8 +13,8 @@ from tidemark.sources.relations import relation
 from tidemark.specs import EventsSpec
 
 
-def prepared(spark: SparkSession, spec: EventsSpec) -> tuple[DataFrame, list[str]]:
-    """Counted rows with entity, bucket, property and labels; and the labels' names."""
+def prepared(spark: SparkSession, spec: EventsSpec, extra: dict[str, Column] | None = None) -> tuple[DataFrame, list[str]]:
+    """Counted rows with entity, bucket, property, labels and extra columns of the caller's; and the labels' names."""
     # event_ts is the instant's public name, unless the source has a column of that name, which then stays what it is.
     df = refuse(relation(spark, spec.source), ())
     own = "event_ts" in {c.lower() for c in df.columns}
@@ -28,10 +28,29 @@ def prepared(spark: SparkSession, spec: EventsSpec) -> tuple[DataFrame, list[str
     else:
         rows = (history if spec.where is None else history.where(where)).withColumns({k: col(b.expr) for k, b in slices.items()})
     default = F.date_trunc("DAY", F.col(TIME)).cast("timestamp_ntz")
-    rows = rows.select(F.col(ENTITY), (default if spec.bucket is None else col(spec.bucket)).alias(BUCKET), *([] if spec.of is None else [col(spec.of).alias(OF)]), *(F.col(k).alias(x) for k, x in zip(slices, spec.labels, strict=True)))
+    rows = rows.select(F.col(ENTITY), (default if spec.bucket is None else col(spec.bucket)).alias(BUCKET), *([] if spec.of is None else [col(spec.of).alias(OF)]), *(F.col(k).alias(x) for k, x in zip(slices, spec.labels, strict=True)), *(c.alias(k) for k, c in (extra or {}).items()))
     return rows, list(spec.labels)
 
 
+def series(spark: SparkSession, spec: EventsSpec, members: Column, name: str = "series") -> DataFrame:
+    """Several series of one measure from one scan: bucket, a column for each breakdown, the series, value.
+
+    members: for each row the array of series that count it. The pick of labels is shared by all series, a row counting
+    for each of its own.
+    """
+    rows, labels = prepared(spark, spec, {name: members})
+    rows = rows.withColumn(name, F.explode(name))
+    if labels:
+        rows = fold(rows, top_labels(rows, labels, spec.top_n, spec.exact, _rank(spec)), labels, spec.top_n, spec.include_other)
+    return measured(rows, spec, [*labels, name])
+
+
+def measured(rows: DataFrame, spec: EventsSpec, labels: list[str]) -> DataFrame:
+    if spec.measure == "active":
+        return active(rows, spec.window_days, labels, spec.report_from, spec.report_until)
+    return aggregate(rows, spec.measure, spec.on, spec.exact, labels)
+
+
 def _rank(spec: EventsSpec):
     return F.sum(OF) if spec.on == "property" and spec.measure == "sum" else None
 
@@ -55,8 +74,4 @@ def events(spark: SparkSession, spec: EventsSpec, top: DataFrame | None = None)
     if labels:
         picked = top_labels(rows, labels, spec.top_n, spec.exact, _rank(spec)) if top is None else top
         rows = fold(rows, picked, labels, spec.top_n, spec.include_other)
-    if spec.measure == "active":
-        out = active(rows, spec.window_days, labels, spec.report_from, spec.report_until)
-    else:
-        out = aggregate(rows, spec.measure, spec.on, spec.exact, labels)
-    return out.orderBy("bucket", *(quoted(x) for x in labels))
+    return measured(rows, spec, labels).orderBy("bucket", *(quoted(x) for x in labels))

@@ -30,6 +30,19 @@ PARTS = {"hour": (0, 23), "day_of_month": (1, 31), "day_of_year": (1, 366), "wee
 STARTS = ("start_of_hour", "start_of_day", "start_of_week", "start_of_month", "start_of_quarter")
 
 
+def shown_number(x: float, decimal: str = ".", digits: int = 2) -> str:
+    """x with groups of three and the decimal mark of the reader, as number() reads it."""
+    text = f"{x:,.{digits}f}" if x != int(x) else f"{int(x):,}"
+    return text if decimal == "." else text.translate(str.maketrans(",.", ".,"))
+
+
+def shown_hour(h: int, style: str = "24") -> str:
+    """An hour of the day, as hour() reads it: 0 is 00:00 or 12am."""
+    if not 0 <= h <= 23:
+        raise ValueError("an hour is a number from 0 to 23")
+    return f"{h:02d}:00" if style == "24" else f"{h % 12 or 12}{'am' if h < 12 else 'pm'}"
+
+
 @dataclass(frozen=True)
 class Filter:
     """column op value; value is a text, a list of texts, or two for between. join tells how it adds to the filters before."""

@@ -165,6 +165,10 @@ class ValueIndex:
         # One column is one partition; within it, entities lie together, so that row groups can be skipped.
         rows = rows.repartition("column_key", "entity").sortWithinPartitions("column_key", "entity", "at")
         rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("column_key").parquet(f"{self.path}/rows")
+        fs, _ = self._file()
+        out = fs.create(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/mapping.txt"), True)
+        out.write(bytearray(self.mapping.fingerprint.encode()))
+        out.close()
 
     def _counts(self, keys: list[str]) -> dict[str, tuple[dict[str, int], datetime | None]]:
         """For each column: rows by event name (as JSON), or of all where there are over MAX_NAMES; and the last instant."""
@@ -204,15 +208,33 @@ class ValueIndex:
             self._write(anti_append(index, self._rows(whole), bookmarks(index)), "append")
         self._record(keys)
 
+    def forget_names(self, names: list[str | None], fresh: bool = False) -> None:
+        """Drops the rows of these event names from all columns; with fresh, what the source has of them takes their place."""
+        keys = [k for k, e in self.entries.items() if e.complete_until and self.exists(k)]
+        if not keys or not names:
+            return
+        known = [n for n in names if n is not None]
+        theirs = F.coalesce(F.col("event_name").isin(known), F.lit(False)) if known else F.lit(False)
+        theirs = theirs | F.col("event_name").isNull() if None in names else theirs
+        rows = self.read().where(F.col("column_key").isin(keys) & ~theirs).select(*COLUMNS)
+        if fresh:
+            rows = rows.unionByName(self._rows(keys).where(theirs))
+        self._write(rows, "overwrite")  # by partition, each swapped when its new files are complete
+        left = {r[0] for r in self.read().select("column_key").distinct().collect()}
+        for key in set(keys) - left:  # a partition without new rows isn't swapped
+            self._delete(key)
+        if kept := [k for k in keys if k in left]:
+            self._record(kept)
+        for key in set(keys) - set(kept):
+            self.entries[key].complete_until = None
+        self._save()
+
     def repair_names(self, now_census: DataFrame, known: DataFrame) -> list[str]:
-        """Event names whose census (value, rows, first_at) shrank or begins earlier than it did; their rows are taken anew."""
+        """Event names whose census (value, rows, first_at) shrank or begins earlier than it did; their rows, and only these, are
+        taken anew."""
         changed = now_census.alias("n").join(known.alias("k"), F.expr("n.value <=> k.value"), "full").where("n.rows < k.rows OR n.rows IS NULL OR n.first_at < k.first_at")
-        names = [r[0] for r in changed.select(F.coalesce("n.value", "k.value")).collect()]
-        if names:
-            keys = [k for k, e in self.entries.items() if e.complete_until]
-            self._write(self._rows(keys), "overwrite")
-            self._record(keys)
-            self._save()
+        names = [r[0] for r in changed.select(F.coalesce("n.value", "k.value")).limit(MAX_NAMES).collect()]
+        self.forget_names(names, fresh=True)
         return names
 
     def sweep(self, wanted: list[str], last: str | None = None) -> list[str]:
@@ -228,23 +250,35 @@ class ValueIndex:
             self.drop(k)
         return gone
 
-    def drop(self, key: str) -> None:
+    def _delete(self, key: str) -> None:
         fs, _ = self._file()
         fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows/column_key={key}"), True)
+
+    def drop(self, key: str) -> None:
+        self._delete(key)
         if key in self.entries:
             del self.entries[key]
             self._save()
 
-    def reconcile(self) -> None:
-        """Registry and rows agree again: entries without rows are forgotten, unknown partitions are dropped."""
+    def reconcile(self, wanted: list[str] = ()) -> list[str]:
+        """Registry and rows agree again: entries without rows are forgotten; partitions that the registry lost are taken back
+        if they are those of a wanted expression and were written under this mapping, else dropped. What was taken back."""
         fs, _ = self._file()
-        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows")
-        there = {s.getPath().getName().removeprefix("column_key=") for s in fs.listStatus(root)} if fs.exists(root) else set()
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        root, mark = path(f"{self.path}/rows"), path(f"{self.path}/mapping.txt")
+        there = {s.getPath().getName() for s in fs.listStatus(root)} if fs.exists(root) else set()
+        there = {n.removeprefix("column_key=") for n in there if n.startswith("column_key=")}
+        ours = fs.exists(mark) and self.spark.read.text(mark.toString()).first()[0] == self.mapping.fingerprint
         self.entries = {k: e for k, e in self.entries.items() if not e.complete_until or k in there}
-        for k in there - set(self.entries):
-            if not k.startswith(("_", ".")):
-                fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows/column_key={k}"), True)
+        exprs = {column_key(e): e for e in wanted}
+        back = sorted(k for k in there & set(exprs) if ours and not (k in self.entries and self.entries[k].complete_until))
+        self.entries |= {k: Entry(exprs[k]) for k in back}
+        if back:
+            self._record(back)
+        for k in there - {k for k, e in self.entries.items() if e.complete_until}:
+            self._delete(k)
         self._save()
+        return back
 
     def attach(self, b: Breakdown, names: list[str] | None = None) -> Breakdown:
         """b reading from the index, with the source itself after its day of completeness; b as it is if its column isn't there.

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import col, json_value, quoted
 from tidemark.functions.timeaxis import between, bucket, instant
-from tidemark.operators.events import events, shared_labels
+from tidemark.operators.events import events, series, shared_labels
 from tidemark.operators.filters import Filter, combine
+from tidemark.operators.valueindex import ValueIndex
 from tidemark.plans.runner import ROW_LIMIT, most_recent
 from tidemark.plans.windows import CYCLIC, current_bucket, grain_of, window
 from tidemark.sources.relations import relation
@@ -88,15 +89,36 @@ def _measure(form: dict, unit: dict | None) -> tuple[str, str, Any]:
     return on, name, json_value(of["column"], of["json_path"]).try_cast("double") if isinstance(of, dict) else of
 
 
-def _fill_from(form: dict, unit: dict | None, slot: dict) -> Any:
+def _fill_names(form: dict, unit: dict | None, slot: dict) -> list[str] | None:
+    """The events that may record values; None if fill_from is no choice of events."""
     source = slot.get("fill_from")
-    if source is None:
+    if isinstance(source, dict):
+        return [source["event"]]
+    if not isinstance(source, str) or source not in (CHARTED, SERIES):
         return None
-    if source in (CHARTED, SERIES):
-        units = [unit] if source == SERIES and unit else form.get("series") or []
-        names = list(dict.fromkeys(n for u in units for n in _names(u))) or form.get("events") or []
-        return _event_is(form, names)
-    return _event_is(form, [source["event"]]) if isinstance(source, dict) else source
+    units = [unit] if source == SERIES and unit else form.get("series") or []
+    return list(dict.fromkeys(n for u in units for n in _names(u))) or form.get("events") or []
+
+
+def _fill_from(form: dict, unit: dict | None, slot: dict) -> Any:
+    names = _fill_names(form, unit, slot)
+    return slot.get("fill_from") if names is None else _event_is(form, names)
+
+
+def _slots(form: dict, unit: dict | None) -> list[dict]:
+    return ((unit or {}).get("breakdowns") if form.get("breakdown_by_series") else form.get("breakdowns")) or []
+
+
+def history_columns(form: dict) -> list[str]:
+    """The expressions of a form whose breakdowns read history: those that an index would serve."""
+    slots = [s for u in form.get("series") or [None] for s in _slots(form, u)]
+    return list(dict.fromkeys(s["expr"] for s in slots if isinstance(s["expr"], str) and not s.get("json_path") and ((s.get("value_at") or "event") != "event" or s.get("if_missing") == "fill")))
+
+
+def _attached(index: ValueIndex | None, b: Any, form: dict, unit: dict | None, slot: dict) -> Any:
+    if index is None or not isinstance(b, Breakdown) or b.values is not None or slot.get("json_path"):
+        return b
+    return index.attach(b, _fill_names(form, unit, slot) or None)
 
 
 def _breakdown(form: dict, unit: dict | None, slot: dict, ends: tuple[Column, Column | None]) -> Any:
@@ -120,8 +142,8 @@ def _breakdown(form: dict, unit: dict | None, slot: dict, ends: tuple[Column, Co
     return Breakdown(expr, at="last", fill_from=fill, backfill=bool(bound) and missing == "fill", **bound, **index)
 
 
-def spec_of(spark: SparkSession, form: dict, unit: dict | None = None, now: datetime | None = None) -> EventsSpec:
-    """The specification of one series of a form."""
+def spec_of(spark: SparkSession, form: dict, unit: dict | None = None, now: datetime | None = None, index: ValueIndex | None = None) -> EventsSpec:
+    """The specification of one series of a form; breakdowns that read history take what an index has."""
     if not form.get("entity"):
         raise ValueError("entity is required")
     df = relation(spark, form["table"])
@@ -129,8 +151,7 @@ def spec_of(spark: SparkSession, form: dict, unit: dict | None = None, now: date
     ends = window(form, now)
     where = _both(between(form["event_time"], *ends, kind), _unit_predicate(df, form, unit), col(form["sql_filter"]) if form.get("sql_filter") else None)
     on, measure, of = _measure(form, unit)
-    slots = (unit or {}).get("breakdowns") if form.get("breakdown_by_series") else form.get("breakdowns")
-    slots = slots or []
+    slots = _slots(form, unit)
     if len(slots) > MAX_BREAKDOWNS:
         raise ValueError(f"at most {MAX_BREAKDOWNS} breakdowns")
     t = instant(form["event_time"], kind)
@@ -138,7 +159,7 @@ def spec_of(spark: SparkSession, form: dict, unit: dict | None = None, now: date
         source=df, entity=form["entity"], event_time=t, measure=measure, on=on, of=of,
         bucket=bucket(t, grain_of(form), zone, form.get("week_start") or "monday", "reporting" if kind == "reporting" else "utc"),
         where=where, exact=form.get("exact") in (True, "true", "on", "1", 1),
-        breakdowns=tuple(_breakdown(form, unit, s, ends) for s in slots), breakdown_labels=tuple(s.get("label") or f"breakdown_{i}" for i, s in enumerate(slots)) or None,
+        breakdowns=tuple(_attached(index, _breakdown(form, unit, s, ends), form, unit, s) for s in slots), breakdown_labels=tuple(s.get("label") or f"breakdown_{i}" for i, s in enumerate(slots)) or None,
         top_n=int(form.get("top_n") or 8), include_other=bool(form.get("include_other", True)), event_time_column=form["event_time"],
         window_days=int(form.get("window_days") or 1) if measure == "active" else 1,
     )
@@ -151,21 +172,46 @@ def _rank_spec(form: dict, spec: EventsSpec) -> EventsSpec:
     return dataclasses.replace(spec, on=on, measure=measure, of=of, window_days=1)
 
 
-def _overlay(spark: SparkSession, form: dict, units: list[dict], now: datetime | None) -> DataFrame:
+def _label(unit: dict) -> str:
+    return unit.get("label") or ", ".join(_names(unit)) or "all"
+
+
+def _alike(form: dict, units: list[dict]) -> bool:
+    """Whether series differ in the rows that they count only, and a shared pick ranks by what they measure (or by rows)."""
+    same = len({repr((_measure(form, u)[:2], u.get("of") if u.get("measure") else form.get("of"))) for u in units}) == 1
+    sums = [_measure(form, u)[:2] == ("property", "sum") for u in (None, units[0])]
+    own = any(s.get("fill_from") == SERIES for s in form.get("breakdowns") or [])
+    if sums[0] and any(u.get("measure") for u in units):
+        return False
+    return same and sums[0] == sums[1] and not own and not form.get("breakdown_by_series") and len({_label(u) for u in units}) == len(units)
+
+
+def _overlay(spark: SparkSession, form: dict, units: list[dict], now: datetime | None, index: ValueIndex | None = None) -> DataFrame:
     if len(units) > MAX_SERIES:
         raise ValueError(f"at most {MAX_SERIES} series")
-    specs = [spec_of(spark, form, u, now) for u in units]
+    if _alike(form, units):  # one scan for all: each row is counted by the series whose predicate it meets
+        df = relation(spark, form["table"])
+        tests = [F.coalesce(_unit_predicate(df, form, u), F.lit(False)) for u in units]
+        some = tests[0]
+        for t in tests[1:]:
+            some = some | t
+        spec = spec_of(spark, form, units[0], now, index)
+        spec = dataclasses.replace(spec, where=_both(between(form["event_time"], *window(form, now), form.get("time_kind") or "utc"), some, col(form["sql_filter"]) if form.get("sql_filter") else None))
+        members = F.array_compact(F.array(*(F.when(t, F.lit(_label(u))) for t, u in zip(tests, units, strict=True))))
+        out = series(spark, spec, members)
+        return out.withColumn("value", F.col("value").cast("double")) if spec.measure in ("average", "sum", "median", "distinct") else out
+    specs = [spec_of(spark, form, u, now, index) for u in units]
     same = all(s.labels == specs[0].labels for s in specs)
     top = shared_labels(spark, [_rank_spec(form, s) for s in specs]) if specs[0].breakdowns and not form.get("breakdown_by_series") else None
     out = None
     for unit, spec in zip(units, specs, strict=True):
-        series = F.lit(unit.get("label") or ", ".join(_names(unit)) or "all")
+        name = F.lit(_label(unit))
         arm = events(spark, spec, top)
         if spec.breakdowns and not same:
             parts = [x for lab in spec.labels for x in (F.lit(SEPARATOR), F.coalesce(quoted(lab).cast("string"), F.lit(MISSING)))]
-            arm = arm.withColumn("series", F.concat(series, *parts)).drop(*spec.labels)
+            arm = arm.withColumn("series", F.concat(name, *parts)).drop(*spec.labels)
         else:
-            arm = arm.withColumn("series", series)
+            arm = arm.withColumn("series", name)
         arm = arm.withColumn("value", F.col("value").cast("double")) if len({s.measure for s in specs} & {"average", "sum", "median", "distinct"}) else arm
         out = arm if out is None else out.unionByName(arm)
     return out
@@ -189,10 +235,16 @@ def fill_cycle(df: DataFrame, grain: str, labels: list[str], week_start: str = "
     return out.orderBy(first, *(quoted(x) for x in labels))
 
 
-def report(spark: SparkSession, form: dict[str, Any], now: datetime | None = None) -> DataFrame:
-    """bucket, [series,] [breakdowns,] value, incomplete: the chart of a form."""
+def report(spark: SparkSession, form: dict[str, Any], now: datetime | None = None, index: ValueIndex | None = None, upkeep: bool = False) -> DataFrame:
+    """bucket, [series,] [breakdowns,] value, incomplete: the chart of a form.
+
+    index: recorded values that breakdowns read instead of the history; with upkeep, its columns that the form needs are built
+    or refreshed first, where that is worth it.
+    """
     units = form.get("series") or []
-    df = _overlay(spark, form, units, now) if len(units) > 1 else events(spark, spec_of(spark, form, units[0] if units else None, now))
+    if index is not None and upkeep:
+        index.apply(index.plan(history_columns(form)))
+    df = _overlay(spark, form, units, now, index) if len(units) > 1 else events(spark, spec_of(spark, form, units[0] if units else None, now, index))
     labels = [c for c in df.columns if c not in ("bucket", "value")]
     grain, limit = grain_of(form), int(form.get("row_limit") or ROW_LIMIT)
     if grain in CYCLIC:

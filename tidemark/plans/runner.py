@@ -51,9 +51,32 @@ def estimate(df: DataFrame) -> int | None:
     return None if max(sizes, default=0) >= UNKNOWN else sum(sizes)
 
 
+#: Kinds of failure by what stands in Spark's error condition or message, the first that fits.
+PROBLEMS = (
+    ("missing_relation", ("TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND", "NoSuchTable", "FileNotFoundException")),
+    ("missing_column", ("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND", "UNRESOLVED_FIELD")),
+    ("syntax", ("PARSE_SYNTAX_ERROR", "PARSE_EMPTY_STATEMENT", "ParseException")),
+    ("unknown_function", ("UNRESOLVED_ROUTINE",)),
+    ("wrong_type", ("DATATYPE_MISMATCH", "CAST_INVALID_INPUT", "INVALID_PARAMETER_VALUE", "CANNOT_PARSE")),
+    ("no_permission", ("AccessControlException", "Permission denied", "INSUFFICIENT_PERMISSIONS", "AccessDenied")),
+    ("cancelled", ("OPERATION_CANCELED", "cancelled", "interruptTag")),
+    ("out_of_memory", ("OutOfMemoryError", "OUT_OF_MEMORY", "ExecutorLostFailure")),
+)
+
+
+def problem(error: BaseException) -> str:
+    """The kind of an error: too_large, timeout, one of PROBLEMS, or other."""
+    if isinstance(error, CapExceeded):
+        return "too_large"
+    if isinstance(error, TimeoutError):
+        return "timeout"
+    text = f"{type(error).__name__} {getattr(error, 'getCondition', lambda: '')() or ''} {error}"
+    return next((kind for kind, marks in PROBLEMS if any(m in text for m in marks)), "other")
+
+
 def missing_relation(error: Exception) -> bool:
     """Whether a query failed because a table or path is gone."""
-    return isinstance(error, AnalysisException) and any(x in str(error) for x in ("TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND", "NoSuchTable"))
+    return isinstance(error, AnalysisException) and problem(error) == "missing_relation"
 
 
 def most_recent(df: DataFrame, key: str, n: int = ROW_LIMIT, labels: tuple[str, ...] = ()) -> DataFrame:
@@ -68,16 +91,15 @@ def run(df: DataFrame, limit: int = ROW_LIMIT, cap_bytes: int | None = CAP_BYTES
         raise CapExceeded(size, cap_bytes)
     spark, tag = df.sparkSession, f"tidemark-{uuid.uuid4().hex}"
     spark.addTag(tag)
-    clock = threading.Timer(timeout_s, lambda: spark.interruptTag(tag))
+    late = threading.Event()
+    clock = threading.Timer(timeout_s, lambda: (late.set(), spark.interruptTag(tag)))
     clock.start()
     try:
         return Result([r.asDict() for r in df.limit(limit).collect()], size, tag)
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"the query was stopped after {timeout_s} s") from e
+        raise
     finally:
         clock.cancel()
         spark.removeTag(tag)
-
-
-def prunes(with_filter: DataFrame, without: DataFrame, share: float = 0.5, least: int = 20 << 20) -> bool:
-    """Whether a filter spares the scan more than half its bytes and 20 MiB."""
-    a, b = estimate(with_filter), estimate(without)
-    return a is not None and b is not None and a < share * b and b - a > least

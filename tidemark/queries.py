@@ -13,10 +13,10 @@ from tidemark.operators.events import events, shared_labels
 from tidemark.operators.filters import Filter, combine
 from tidemark.operators.funnel import funnel
 from tidemark.operators.retention import retention
-from tidemark.operators.valueindex import anti_append, bookmarks, index_rows
+from tidemark.operators.valueindex import Mapping, ValueIndex, anti_append, bookmarks, index_rows
 from tidemark.plans.report import report
 from tidemark.sources import catalog
-from tidemark.sources.relations import relation
+from tidemark.sources.relations import relation, work_folder
 from tidemark.specs import Breakdown, EventsSpec, FunnelSpec, RetentionSpec, Values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: A sparse column and a coarse instant, as SQL that both engines read.
 SPARSE = "CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END"
 MAYBE = "CASE WHEN event_type <> 'click' THEN event_type END"
+RARE = "CASE WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN event_type END"
 NOW = datetime(2024, 1, 31, 12)
+#: A range within the events, for charts of values at its ends.
+MID = {"range_mode": "custom", "start_date": "2024-01-10", "end_date": "2024-01-20"}
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -80,6 +83,37 @@ def _report(**form) -> Query:
     return lambda spark, sf: report(spark, {"table": f"{sf}/events.parquet"} | base | form, now=NOW)
 
 
+def _value_at(at: str, missing: str = "null", expr: str = SPARSE, **slot) -> Query:
+    return _report(**MID, breakdowns=[{"expr": expr, "value_at": at, "if_missing": missing, **slot}])
+
+
+def _written_index(spark: SparkSession, sf: str) -> ValueIndex:
+    path = f"{sf}/events.parquet"
+    return ValueIndex(spark, work_folder(spark, "index"), relation(spark, path), Mapping(path, "user_id", "ts", "event_type"), NOW)
+
+
+def _index_report(spark: SparkSession, sf: str) -> DataFrame:
+    form = {"table": f"{sf}/events.parquet", "entity": "user_id", "event_time": "ts", "measure": "total", "grain": "day", "exact": True, "event_column": "event_type", **MID}
+    form["breakdowns"] = [{"expr": RARE, "value_at": "event", "if_missing": "fill"}]
+    return report(spark, form, NOW, _written_index(spark, sf), upkeep=True)
+
+
+def _index_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that has lost an event's rows and takes them anew."""
+    index = _written_index(spark, sf)
+    index.apply(index.plan([RARE]))
+    index.forget_names(["purchase"], fresh=True)
+    return index.read().select(F.lit("rare").alias("column_key"), "entity", "at", "value", "event_name")
+
+
+def _typed(*filters: Filter) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = relation(spark, f"{sf}/events.parquet").withColumn("d", F.col("ts").cast("date"))
+        return df.where(combine(df, list(filters))).select("event_id", "d")
+
+    return run
+
+
 def _census(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.census(relation(spark, f"{sf}/events.parquet"), "event_type", "ts")
 
@@ -171,6 +205,14 @@ def queries() -> dict[str, Query]:
         "funnel_same_row_two_steps": _funnel(steps=("event_type IN ('view', 'click')", "event_type = 'click'", "value > 50"), step_labels=("seen", "clicked", "paid")),
         "overlay_shared_pick": _report(series=[{"event": "view"}, {"event": "click"}], breakdowns=[{"expr": "user_id % 7"}], top_n=3),
         "overlay_per_series": _report(series=[{"event": "view"}, {"event": "click", "measure": "uniques"}]),
+        "overlay_any_of": _report(series=[{"label": "seen", "any_of": [{"event": "view"}, {"event": "click", "filters": [{"column": "value", "op": "gt", "value": "50"}]}]}, {"event": "click"}], breakdowns=[{"expr": "user_id % 7"}], top_n=2),
+        "value_at_first": _value_at("first_record"),
+        "value_at_latest": _value_at("latest_record"),
+        "value_at_start": _value_at("range_start", expr="event_type"),
+        "value_at_start_fill": _value_at("range_start", "fill", RARE),
+        "value_at_end": _value_at("range_end"),
+        "value_at_event_fill": _value_at("event", "fill"),
+        "value_fill_from": _value_at("event", "fill", "event_type", fill_from={"event": "purchase"}),
         "cyclic_fill": _report(grain="hour_of_day", series=[{"event": "signup", "filters": [{"column": "value", "op": "gt", "value": "99"}]}]),
         "shared_pick": _shared,
         "filter_string_ops": _filter(Filter("event_type", "contains", ["IC", "ur"]), Filter("event_type", "not_ends_with", ["K"])),
@@ -178,7 +220,13 @@ def queries() -> dict[str, Query]:
         "filter_timestamp_day": _filter(Filter("ts", "between", ["2024-01-05", "2024-01-07"]), Filter("ts", "is_not", "2024-01-06")),
         "filter_parts": _filter(Filter("ts", "is_any_of", ["mon", "Sunday"], part="weekday"), Filter("ts", "lt", "12", part="hour")),
         "filter_mixed_fold": _filter(Filter("event_type", "is", "view"), Filter("value", "gt", "95", join="or"), Filter("user_id", "lte", "40")),
+        "filter_date": _typed(Filter("d", "between", ["2024-01-05", "2024-01-09"]), Filter("d", "is_not", "2024-01-06")),
+        "filter_date_ends": _typed(Filter("d", "on_or_before", "2024-01-02"), Filter("d", "after", "2024-01-28", join="or")),
         "json_breakdown": _json,
+        "bd_sketch_top2": _bd("event_type", top_n=2, exact=False),
+        "census_names": lambda spark, sf: catalog.census_by_name(_census(spark, sf)),
+        "index_report": _index_report,
+        "index_repair": _index_repair,
         "census_month": _census,
         "catalog_names": _names,
         "density_probe": _density,
@@ -254,6 +302,11 @@ def oracle_sql() -> dict[str, str]:
     three = ["event_type = 'view'", "event_type = 'click'", "event_type = 'purchase'"]
     index = "SELECT 'kind' AS column_key, user_id AS entity, ts AS at, event_type AS value, event_type AS event_name FROM events WHERE event_type IN ('signup', 'purchase')"
     lc = "lower(event_type)"
+    mid = "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-21'"
+    dated = lambda sql: f"SELECT CAST(bucket AS DATE) AS bucket, breakdown_0, value, false AS incomplete FROM ({sql})"
+    at = lambda pick: dated(_attributed(pick, mid.replace("ts ", "m.ts ")))
+    sparse = "h.event_type IN ('signup', 'purchase')"
+    rare = "h.event_type = 'purchase' AND h.user_id % 2 = 0"
     return {
         "events_total_day": _group(day, "count(*)"),
         "events_total_hour": _group("date_trunc('hour', ts)", "count(*)"),
@@ -306,6 +359,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT bucket, series, CASE WHEN l IN (SELECT l FROM t) THEN CAST(l AS VARCHAR) ELSE '(other)' END AS breakdown_0, count(*) AS value, bucket = DATE '2024-01-31' AS incomplete FROM r GROUP BY ALL""",
         "overlay_per_series": f"""SELECT CAST(ts AS DATE) AS bucket, event_type AS series, CASE WHEN min(event_type) = 'view' THEN count(*) ELSE count(DISTINCT user_id) END AS value, bool_or(CAST(ts AS DATE) = DATE '2024-01-31') AS incomplete
             FROM events WHERE event_type IN ('view', 'click') AND {window} GROUP BY ALL""",
+        "overlay_any_of": f"""WITH r AS (SELECT CAST(ts AS DATE) AS bucket, 'seen' AS series, user_id % 7 AS l FROM events WHERE (event_type = 'view' OR event_type = 'click' AND value > 50) AND {window}
+            UNION ALL SELECT CAST(ts AS DATE), 'click', user_id % 7 FROM events WHERE event_type = 'click' AND {window}), t AS (SELECT l FROM r GROUP BY 1 ORDER BY count(*) DESC, l LIMIT 2)
+            SELECT bucket, series, CASE WHEN l IN (SELECT l FROM t) THEN CAST(l AS VARCHAR) ELSE '(other)' END AS breakdown_0, count(*) AS value, bucket = DATE '2024-01-31' AS incomplete FROM r GROUP BY ALL""",
+        "value_at_first": at(_pick("event_type", "ASC", sparse)),
+        "value_at_latest": at(_pick("event_type", "DESC", sparse)),
+        "value_at_start": at(_pick("event_type", "DESC", "h.ts <= TIMESTAMP '2024-01-10'")),
+        "value_at_start_fill": at(f"SELECT coalesce(({_pick('event_type', 'DESC', rare + ' AND h.ts <= TIMESTAMP ' + repr('2024-01-10'))}), ({_pick('event_type', 'ASC', rare)}))"),
+        "value_at_end": at(_pick("event_type", "DESC", sparse + " AND h.ts < TIMESTAMP '2024-01-21'")),
+        "value_at_event_fill": dated(_carried_sql(SPARSE, "true", mid, "ts")),
+        "value_fill_from": dated(_carried_sql("event_type", "event_type = 'purchase'", mid, "ts", own=True)),
         "cyclic_fill": f"SELECT CAST(k AS INTEGER) AS bucket, count(ts) AS value, false AS incomplete FROM range(24) AS r(k) LEFT JOIN events ON hour(ts) = k AND event_type = 'signup' AND value > 99 AND {window} GROUP BY 1",
         "shared_pick": "SELECT user_id % 7 AS breakdown_0 FROM events WHERE event_type IN ('view', 'click') GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3",
         "filter_string_ops": f"SELECT event_id, event_type, value FROM events WHERE ({lc} LIKE '%ic%' OR {lc} LIKE '%ur%') AND NOT ({lc} LIKE '%k')",
@@ -313,6 +376,12 @@ def oracle_sql() -> dict[str, str]:
         "filter_timestamp_day": "SELECT event_id, event_type, value FROM events WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-07')",
         "filter_parts": "SELECT event_id, event_type, value FROM events WHERE dayname(ts) IN ('Monday', 'Sunday') AND hour(ts) < 12",
         "filter_mixed_fold": "SELECT event_id, event_type, value FROM events WHERE (event_type = 'view' OR value > 95) AND user_id <= 40",
+        "filter_date": "SELECT event_id, CAST(ts AS DATE) AS d FROM events WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-07', DATE '2024-01-08', DATE '2024-01-09')",
+        "filter_date_ends": "SELECT event_id, CAST(ts AS DATE) AS d FROM events WHERE ts < TIMESTAMP '2024-01-03' OR ts >= TIMESTAMP '2024-01-29'",
+        "bd_sketch_top2": _folded(b0, rows("event_type"), 2),
+        "census_names": "SELECT event_type AS value, count(*) AS rows, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1",
+        "index_report": dated(_carried_sql(RARE, "true", mid, "ts")),
+        "index_repair": "SELECT 'rare' AS column_key, user_id AS entity, ts AS at, event_type AS value, event_type AS event_name FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0",
         "json_breakdown": _folded(b0, rows("json_extract_string(props, '$.k')"), 4),
         "census_month": "SELECT event_type AS value, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS rows, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1, 2",
         "catalog_names": "SELECT DISTINCT event_type AS value FROM events WHERE ts >= TIMESTAMP '2024-01-05'",
