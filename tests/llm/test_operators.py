@@ -50,6 +50,20 @@ def test_decontamination_by_hand(spark):
 # 2
 
 
+def test_longest_previous_factors_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for n, letters in ((0, 2), (1, 2), (40, 1), (300, 2), (300, 3)):
+        windows = rng.integers(65, 65 + letters, (n, 8), dtype=np.uint8)
+        doc, at = rng.integers(0, 12, n), rng.permutation(n)
+        row = doc * 7 % 5
+        got = substrings.longest_previous(windows, doc, row, at)
+        common = lambda a, b: int((np.append(a != b, True)).argmax())
+        for i in range(n):
+            other = max((common(windows[i], windows[j]) for j in range(n) if doc[j] < doc[i]), default=0)
+            same = any(doc[j] == doc[i] and row[j] == row[i] and at[j] < at[i] and common(windows[i], windows[j]) == 8 for j in range(n))
+            assert got[i] == 8 if same or other == 8 else other <= got[i] < 8
+
+
 def brute_substrings(rows, length):
     seen, out = defaultdict(list), []
     key = lambda d: -(2**63) if d is None else d

@@ -2,7 +2,7 @@
 
 A byte goes if a run of `length` (100) bytes over it also starts earlier, in a document with a smaller id or earlier in the
 same one. The suffixes of a whole corpus can't be sorted in one place, so runs are dealt out in such a way that equal ones meet;
-there they are grouped, which takes the place of a suffix array and of longest previous factors.
+there their suffixes are sorted and their longest previous factors found.
 
 1. Every run's anchor is its 32-byte piece with the least hash (the leftmost of equals), so equal runs have equal
    anchors at equal places. The runs with one anchor make up a zone of up to 168 bytes; anchors are about one in 35.
@@ -11,7 +11,9 @@ there they are grouped, which takes the place of a suffix array and of longest p
 2. Where an anchor has different zones, copies begin or end. From the first of each of these (and from no others) the
    text itself is sent, in up to four slices by the anchor's place in the run, keyed by a hash of what all runs of a slice
    have in common (at least 83 bytes), so that a common short line brings nothing together. Where slices meet, their
-   windows of `length` bytes are grouped by hash and sorted by their bytes; all but the first of equal ones are covered.
+   positions whose next `length` bytes come again (by hash) are sorted by these bytes, as in a suffix array; the previous and
+   next positions of smaller documents in that order give each one's longest previous factor, and where it reaches
+   `length` bytes, these are covered.
 3. Covered stretches are dealt out by document, and meet the text.
 
 No step has a group that grows with the copies of a text: each task sends one zone, or slice, of a kind.
@@ -221,14 +223,43 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int, keys: np.ndarray) ->
             yield rows_of([p for p, _ in by], ZONE, packed, keys)
 
 
-def repeated_windows(windows: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which rows of `windows` equal an earlier one: sorted by their bytes, ties by position, all but the first of equals."""
+def smaller_before(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place the length that it has in common with the nearest place before that has a smaller rank, 0 if there is none.
+
+    common: what each place has in common with the one before it. Places point to the one before, and where that has no
+    smaller rank, to where it points itself: nothing in between is smaller, so pointers double their reach.
+    """
+    to, least = np.arange(len(rank)) - 1, common.copy()
+    live = np.flatnonzero((to >= 0) & (least > 0))
+    while len(live := live[(to[live] >= 0) & (least[live] > 0)]):
+        live = live[rank[to[live]] >= rank[live]]
+        over = to[live]
+        least[live], to[live] = np.minimum(least[live], least[over]), to[over]
+    return np.where(to >= 0, least, 0)
+
+
+def longest_previous(windows: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each position: how many bytes from there on, up to a window's, also start earlier, in a
+    document with a smaller id or before in the same text.
+
+    Positions are sorted by what follows them, ties by document and place. In that order the longest match with an earlier
+    document is at the previous or the next position with a smaller one.
+    """
+    n = len(windows)
+    if not n:
+        return np.zeros(0, np.int64)
     text = np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel()
     order = np.lexsort((at, row, doc, text))
-    same = np.zeros(len(order), bool)
-    same[1:] = (windows[order][1:] == windows[order][:-1]).all(axis=1)
-    out = np.zeros(len(order), bool)
-    out[order] = earlier(same, doc[order], row[order], at[order])
+    sorted_, doc, row, at = windows[order], doc[order], row[order], at[order]
+    odd = sorted_[1:] != sorted_[:-1]
+    common = np.zeros(n + 1, np.int64)
+    common[1:n] = np.where(odd.any(axis=1), odd.argmax(axis=1), windows.shape[1])
+    best = np.maximum(smaller_before(doc, common[:n]), smaller_before(doc[::-1], common[1:][::-1])[::-1])
+    own = np.zeros(n, bool)  # the same text's positions lie side by side where all that follows is equal
+    own[1:] = (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (at[1:] > at[:-1])
+    best = np.maximum(best, np.where(own, common[:n], 0))
+    out = np.empty(n, np.int64)
+    out[order] = best
     return out
 
 
@@ -262,7 +293,7 @@ def _compare_slices(batches: Iterator[pa.RecordBatch], length: int, keys: np.nda
             continue
         doc, row, at = x["doc"][owner], x["row"][owner], x["first"][owner].astype(np.int64) + place
         windows = np.lib.stride_tricks.sliding_window_view(data, length)[pos]
-        late = repeated_windows(windows, doc, row, at)
+        late = longest_previous(windows, doc, row, at) >= length
         yield from _covered(doc[late], row[late], at[late], at[late] + length, keys)
 
 
