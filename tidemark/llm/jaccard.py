@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, private_name, table
 from tidemark.llm.components import components
-from tidemark.llm.dealing import ROW, TEXTS, by_part, deal, dealt, groups, home, pack_texts, part_keys, rows_of, send_texts, unpack, unpack_texts
+from tidemark.llm.dealing import ROW, TEXTS, by_part, deal, dealt, groups, home, pack_texts, part_keys, release, rows_of, send_texts, unpack, unpack_texts
 from tidemark.llm.textarrays import ODD, U, mix, shingle_sets
 
 WIDTH, PERCENT = 5, 80
@@ -204,11 +204,14 @@ def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, keys: np
             if held >= FLUSH:
                 yield from flush()
                 sigs, docs, slots, spares, sizes, held = [], [], [], [], [], 0
+                release()
         if len(batch):
             blob = _blob(id=batch.column(0), n=np.array(n, np.int64), h1=np.array(h1, U).view(np.int64), h2=np.array(h2, U).view(np.int64), sketch=pa.array(sketches, pa.binary()))
             yield rows_of([int(h1[0] % U(len(keys)))], ROWS, [blob], keys)
     if held:
         yield from flush()
+    del sigs, docs, slots, spares, sizes, seen
+    release()
 
 
 def _meet(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import private_name, table
+from tidemark.llm.dealing import release
 from tidemark.llm.textarrays import LOWER, blocks
 
 SAMPLE, WINDOW = 4_000, 6
@@ -321,6 +322,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
             for i in np.flatnonzero(lexicon.suspects(batch.column(spot))):
                 x[i] = features(*evidence(batch.column(spot)[i].as_py(), lexicon)[:2])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], names=[*batch.schema.names, into])
+        release()
 
     return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
