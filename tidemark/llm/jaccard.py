@@ -48,7 +48,7 @@ HUB = 64
 #: Partners from other components that each document is compared with before all others are.
 NEAREST = 3
 #: Members of each component that a list brings to that comparison; members of a list that one task compares with as many.
-FEW, BLOCK = 8, 4_096
+FEW, BLOCK = 8, 1_024
 #: Ids (about 50 bytes each in memory) go to the documents by broadcast up to so many, else by shuffle.
 MAX_BROADCAST_IDS = 500_000
 #: Kinds of rows that tasks send each other.
