@@ -48,7 +48,7 @@ HUB = 64
 #: Partners from other components that each document is compared with before all others are.
 NEAREST = 3
 #: Members of each component that a list brings to that comparison; members of a list that one task compares with as many.
-FEW, BLOCK = 8, 1_024
+FEW, BLOCK = 8, 4_096
 #: Ids (about 50 bytes each in memory) go to the documents by broadcast up to so many, else by shuffle.
 MAX_BROADCAST_IDS = 500_000
 #: Kinds of rows that tasks send each other.
@@ -136,19 +136,33 @@ def distances(x: bytes, n: int, others: list[bytes], sizes: np.ndarray, percent:
     return out
 
 
-def _blob(**columns: np.ndarray | pa.Array) -> bytes:
+def _blob(**columns: np.ndarray) -> bytes:
+    """Columns of numbers as bytes: names, kinds and lengths in a line, then all of them in one compressed piece."""
+    raw = b"".join(np.ascontiguousarray(v).tobytes() for v in columns.values())
+    head = ";".join([str(len(raw)), *(f"{k}:{v.dtype.str}:{len(v)}" for k, v in columns.items())])
+    return f"{head}\n".encode() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _columns(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    out: dict[str, list[np.ndarray]] = {}
+    for blob in blobs:
+        head, _, body = blob.partition(b"\n")
+        size, *kinds = head.decode().split(";")
+        raw, at = pa.decompress(body, int(size), "zstd", asbytes=True), 0
+        for kind in kinds:
+            name, dtype, n = kind.split(":")
+            out.setdefault(name, []).append(np.frombuffer(raw, dtype, int(n), at))
+            at += out[name][-1].nbytes
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
     out = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
     with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
         stream.write_batch(batch)
     return out.getvalue().to_pybytes()
 
 
-def _columns(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    tables = [pa.ipc.open_stream(b).read_all() for b in blobs]
-    return {k: np.concatenate([t[k].to_numpy() for t in tables]) for k in tables[0].column_names}
-
-
 def _entries_of(part: np.ndarray, keys: np.ndarray, doc: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
     """Entries dealt into parts, a row for each; ids as steps from one to the next."""
     by = groups(part)
@@ -206,8 +220,9 @@ def _index(batches: Iterator[pa.RecordBatch], percent: int, width: int, keys: np
                 sigs, docs, slots, spares, sizes, held = [], [], [], [], [], 0
                 release()
         if len(batch):
-            blob = _blob(id=batch.column(0), n=np.array(n, np.int64), h1=np.array(h1, U).view(np.int64), h2=np.array(h2, U).view(np.int64), sketch=pa.array(sketches, pa.binary()))
-            yield rows_of([int(h1[0] % U(len(keys)))], ROWS, [blob], keys)
+            sums = [pa.array(np.array(h, U).view(np.int64)) for h in (h1, h2)]
+            own = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *sums, pa.array(sketches, pa.binary())], names=["id", "n", "h1", "h2", "sketch"])
+            yield rows_of([int(h1[0] % U(len(keys)))], ROWS, [_stream(own)], keys)
     if held:
         yield from flush()
     del sigs, docs, slots, spares, sizes, seen
