@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed
+from tidemark.llm.common import checkpointed, forget
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,5 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         further = taken.select(F.col("id").alias("new"), F.col("new").alias("next"))
         jumped = checkpointed(taken.join(further, "new").select("id", F.col("label").alias("old"), F.least("new", "next").alias("label")))
         labels = jumped.select("id", "label")
+        forget(edges.sparkSession)
         if jumped.where("old <> label").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
