@@ -554,8 +554,9 @@ def test_shingle_sets_equal_words():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (100, 60), (7, 7), (200, 201), (200, 201)]
-    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((50, 60, 100), 50) | dict.fromkeys((200, 201), 200)
+    for most in (0, 500_000):
+        got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), most).collect()}
+        assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((50, 60, 100), 50) | dict.fromkeys((200, 201), 200)
 
 
 # 10

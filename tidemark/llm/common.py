@@ -33,12 +33,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is checkpointed by now; it does so when the driver's garbage goes, which may
-    be long after the disks of the executors are full."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def ascii_lower(text: Column) -> Column:
     """text with A-Z in lower case and all else as it is. lower() does just this where every character is one byte."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, forget, private_name, table
+from tidemark.llm.common import checkpointed, private_name, table
 from tidemark.llm.components import components
 from tidemark.llm.dealing import ROW, TEXTS, by_part, deal, dealt, groups, home, pack_texts, part_keys, release, rows_of, send_texts, unpack, unpack_texts
 from tidemark.llm.textarrays import ODD, U, mix, shingle_sets
@@ -487,7 +487,6 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     lists = deal(chosen, keys).mapInArrow(_lists, "a long, b long, members binary")
     lists = checkpointed(lists.groupBy("a", "b").agg(F.first("members").alias("members")))
     few = F.length("members") <= 12 * SMALL
-    forget(spark)
 
     # Equal sets are one class, named by its least id; only classes are paired from here on.
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("class"), F.count("*").alias("copies")).where("copies > 1")
@@ -521,12 +520,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     copies = same.select(F.col("id").alias("a"), F.col("class").alias("b"))
     links = checkpointed(_links(tested, known, percent, width, keys).unionByName(copies))
     labels = checkpointed(components(links))
-    forget(spark)
+    few_labels = labels.count() <= MAX_BROADCAST_IDS
 
     # Then pairs and lists that are not in one component yet: first each document with the nearest few of other components,
     # which joins nearly all that will be joined; at last all that are apart still, and plausible.
     def labelled(df: DataFrame, side: str, label: str) -> DataFrame:
-        return df.join(labels.select(F.col("id").alias(side), F.col("component").alias(label)), side, "left").withColumn(label, F.coalesce(label, side))
+        own = labels.select(F.col("id").alias(side), F.col("component").alias(label))
+        return df.join(F.broadcast(own) if few_labels else own, side, "left").withColumn(label, F.coalesce(label, side))
 
     marked = rows.where("n > 0").groupBy("id").agg(F.first("sketch").alias("sketch")).withColumn("sketch", F.col("sketch") if sketches is not None else F.lit(b""))
     for nearest in (True, False):
@@ -545,10 +545,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
         more = checkpointed(of_classes(more.select("a", "b")).join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
-        forget(spark)
-        tested = tested.unionByName(more)
+            tested = tested.unionByName(more)
         links = checkpointed(links.unionByName(_links(more, known, percent, width, keys)))
         labels = checkpointed(components(links))
+        few_labels = labels.count() <= MAX_BROADCAST_IDS
     out = rows.join(labels, "id", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
