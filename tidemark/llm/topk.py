@@ -1,7 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are turned into integers. Queries are taken in chunks of at most `chunk` (their integers, 64 MB or so, are broadcast;
-a larger set takes more passes over the vectors). The vectors with the greatest lengths, at most `seed` of them,
+a larger set takes more passes over the vectors, each with its results written to the shared folder and its broadcast
+given up before the next, so that the driver holds one chunk at a time). The vectors with the greatest lengths, at most `seed` of them,
 give every query a first lower bound of its k-th score. Then each task takes its vectors in blocks, sorts a block by length,
 longest first, and cuts it into buckets. In a bucket with longest vector b, a query q with k-th score s so far
 needs a cosine of at least t = s / (|q| |b|): above 1 nothing in the bucket can matter (length pruning); for t near 1 the
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import checkpointed, table
 
 K, SCALE, EVERY = 5, 256.0, 50
 CHUNK, SEED, BLOCK, BUCKET = 65_536, 4_096, 16_384, 512
@@ -150,14 +151,23 @@ def search(vectors: DataFrame, queries, k: int = K, chunk: int = CHUNK, seed: in
             search_block(q[lo : lo + 4096], np.full(len(part.full), -np.inf), seeds, seed_ids, part)
             first.score[lo : lo + 4096], first.full[lo : lo + 4096] = part.score, part.full
         shared = spark.sparkContext.broadcast((q, q_ids, own, first.floor()))
-        found.append(rows.mapInArrow(_searcher(shared, width, k + 1), "slot long, query long, id long, score long, own boolean").withColumn("chunk", F.lit(c)))
+        best = _ranked(rows.mapInArrow(_searcher(shared, width, k + 1), "slot long, query long, id long, score long, own boolean"), k)
+        if chunks > 1:
+            best = checkpointed(best)
+            shared.destroy()
+        found.append(best)
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    each = W.partitionBy("chunk", "slot")
-    out = out.withColumn("place", F.row_number().over(each.orderBy(F.desc("score"), "id", F.desc("own")))).where(F.col("place") <= k + 1)
+    return out
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query of a chunk; of the k + 1 rows found its own is left out."""
+    each = W.partitionBy("slot")
+    out = found.withColumn("place", F.row_number().over(each.orderBy(F.desc("score"), "id", F.desc("own")))).where(F.col("place") <= k + 1)
     out = out.withColumn("self", F.min(F.when(F.col("own"), F.col("place"))).over(each)).where(~F.col("place").eqNullSafe(F.col("self")))
     rank = F.col("place") - F.when(F.col("place") > F.col("self"), 1).otherwise(0)
     out = out.withColumn("rank", rank).where(F.col("rank") <= k)
