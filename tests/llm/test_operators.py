@@ -220,6 +220,59 @@ def test_wrapper_is_an_expression():
     assert html_extract.Wrapper.load(w.dump()).expression() == w.expression()
 
 
+def test_wrappers_keep_every_item(spark):
+    letters = lambda k: "".join(chr(97 + k // 26**x % 26) for x in range(4))
+    text = lambda i: f"Text {i} " + f"w{i} " * 30
+    # More texts that are the same on all pages than 20,000; all but the last are labels.
+    labels = "".join(f"<p class=z{letters(k)}>Label {k}" for k in range(20_500))
+    pages = [f"<div class=x><p>{text(i)}</p>{labels}<p class=end>End {i}</div>" for i in range(3)]
+    want = [f"{text(i).strip()}\n\nEnd {i}" for i in range(3)]
+    assert host_texts(pages) == want
+    small = [(10 + i, f"http://small/{i}", f"<div class=x><p>{text(i)}</div>") for i in range(3)]
+    rows = docs_of(spark, [*((i, "http://h/", p) for i, p in enumerate(pages)), *small, (20, None, None)], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(rows).collect()}
+    assert got == dict(enumerate(want)) | {10 + i: text(i).strip() for i in range(3)} | {20: ""}
+
+
+def test_large_wrappers_give_the_same_texts(spark, monkeypatch):
+    body = lambda i: f"Body {i} " + f"b{i} " * (20 + i)
+    shape = lambda i: f"<div class=top>Site</div><div class=x><p>{body(i)}{'<h2>More</h2><p>end' * (i % 3)}</div><ul><li>Imprint</ul>"
+    rows = docs_of(spark, [(i % 70, f"http://{'abc'[i % 3]}/{i}", shape(i)) for i in range(90)] + [(99, None, "")], "page_id long, url string, html string").repartition(4, "url")
+    texts = lambda: sorted(map(tuple, html_extract.main_text(rows).select("page_id", "url", "text").collect()), key=str)
+    want = texts()
+    monkeypatch.setattr(html_extract, "BIG", 0)
+    monkeypatch.setattr(html_extract, "GROUP", 700)
+    assert texts() == want and len(want) == 91
+    monkeypatch.setattr(html_extract, "MAX_BROADCAST", 0)
+    assert texts() == want
+
+    pages = [shape(i) for i in range(30)]
+    want = host_texts(pages)
+    growing = html_extract.Growing()
+    monkeypatch.setattr(html_extract, "PART", 5)
+    parsed = [html_extract.parse(p) for p in pages]
+    for x in parsed:
+        growing.add(html_extract.Wrapper.of(*x))
+    whole = growing.whole()
+    assert whole.pages == 30 and [html_extract.extract(*x, whole, whole.content()) for x in parsed] == want
+    monkeypatch.setattr(html_extract, "HELD", 10)
+    column = [pa.array(["a"] * 30), pa.array(pages)]
+    parts = [x for b in html_extract._infer([pa.RecordBatch.from_arrays(column, names=["host", "html"])]) for x in b.to_pylist()]
+    assert len(parts) > 1 and sum(x["size"] for x in parts) == sum(map(len, pages))
+    again = [x for b in html_extract._merge([pa.RecordBatch.from_pylist(parts)]) for x in b.to_pylist()]
+    assert [html_extract.Wrapper.load(x["wrapper"]).pages for x in again] == [30]
+
+
+def test_alignment_in_little_memory_is_the_same(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefgh#") for _ in range(rng.randint(0, 150))] for _ in range(2))
+        pairs = html_extract.aligned(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "ROOM", 1)
+            assert html_extract.aligned(a, b) == pairs
+
+
 def test_pages_cut_off_in_a_tag_take_linear_time():
     import time
 
